@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from binding import statement_queries  # noqa: F401
+from binding import statement_queries, model_queries  # noqa: F401,I001
 from binding.registry import REGISTRY
 
 NAMES = list(REGISTRY)

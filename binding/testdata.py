@@ -7,13 +7,14 @@ money stays decimal until it is published as a double, so both engines see equal
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fundaflow import vocab
+from fundaflow.config import ModelConfig, RiskLimits
 from fundaflow.functions.text import slug
 
 NOW = datetime(2002, 3, 31)
@@ -59,7 +60,7 @@ def securities(spark: SparkSession, d: str) -> DataFrame:
             cik_of(k).alias("cik"),
             F.concat(F.lit("S"), F.lpad(k.cast("string"), 6, "0")).alias("symbol"),
             (k % 10 != 9).alias("investable"),
-            (k % 97 + 10).cast("double").alias("price_usd"),
+            ((k % 97 + 10).cast("double") / 10.0).alias("price_usd"),
             F.coalesce("adv_usd", F.lit(0.0)).alias("adv_usd"),
             F.when(k % 13 == 4, F.lit("")).otherwise(slug(F.col("n_name"))).alias("peer_group"),
             slug(F.col("r_name")).alias("sector"),
@@ -69,6 +70,17 @@ def securities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+MODEL = ModelConfig(
+    target_gross_exposure_ratio=0.50, max_name_weight_ratio=0.01, min_expected_return_proxy=0.02,
+    min_abs_order_notional_usd=100.0, max_forecast_abs_growth_ratio=0.50,
+)
+LIMITS = RiskLimits(
+    now=NOW, portfolio_value_usd=1_000_000.0, cash_usd=1e12, max_name_weight_ratio=0.05,
+    max_order_notional_usd=30_000.0, min_adv_usd=31_000.0, max_adv_participation_ratio=0.25,
+    broker_reconciled=True, reconciliation_checked_at=NOW - timedelta(minutes=30),
+)
+
+
 def positions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, d, "supplier").filter(k % 4 == 0).select(

@@ -43,7 +43,7 @@ FROM lineitem GROUP BY ALL
 
 view("v_securities", f"""
 SELECT k + 1 AS security_id, {CIK} AS cik, 'S' || lpad(CAST(k AS VARCHAR), 6, '0') AS symbol,
-       k % 10 <> 9 AS investable, CAST(k % 97 + 10 AS DOUBLE) AS price_usd, coalesce(adv, 0.0) AS adv_usd,
+       k % 10 <> 9 AS investable, CAST(k % 97 + 10 AS DOUBLE) / 10.0::DOUBLE AS price_usd, coalesce(adv, 0.0) AS adv_usd,
        CASE WHEN k % 13 = 4 THEN '' ELSE trim(lower(regexp_replace(n_name, '[^0-9A-Za-z]+', '_', 'g')), '_') END AS peer_group,
        trim(lower(regexp_replace(r_name, '[^0-9A-Za-z]+', '_', 'g')), '_') AS sector,
        CASE WHEN k % 6 = 0 THEN '' ELSE 'industry_' || CAST(k % 6 AS VARCHAR) END AS industry,

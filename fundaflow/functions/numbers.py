@@ -15,9 +15,10 @@ def is_finite(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float | Column, high: float | Column) -> Column:
+    """Bound a finite value; callers test for NaN first."""
     lo = low if isinstance(low, Column) else F.lit(float(low))
     hi = high if isinstance(high, Column) else F.lit(float(high))
-    return F.when(c < lo, lo).when(c > hi, hi).otherwise(c)
+    return F.least(F.greatest(c, lo), hi)
 
 
 def safe_ratio(n: Column, d: Column) -> Column:

@@ -31,6 +31,7 @@ def local_session(cores: int | str = "*", app: str = "fundaflow", **conf: str) -
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8" if n == "*" else n)
         .config("spark.driver.memory", "12g")
     )
