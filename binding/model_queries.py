@@ -278,7 +278,7 @@ SELECT '{label}' AS variant, intent_id, i.security_id, side, notional_usd, i.run
   WHEN NOT investable THEN 'security not investable' WHEN side NOT IN ('buy', 'sell') THEN 'invalid order side'
   WHEN notional_usd < 100 THEN 'notional below minimum or invalid' WHEN notional_usd > 30000 THEN 'order notional exceeds hard limit'
   WHEN abs(target_weight_ratio) > 0.05 THEN 'target weight exceeds name limit' WHEN adv_usd < 31000 THEN 'liquidity below minimum ADV'
-  WHEN notional_usd > adv_usd * 0.25 THEN 'order exceeds ADV participation limit'
+  WHEN notional_usd > adv_usd * 0.60 THEN 'order exceeds ADV participation limit'
   WHEN side = 'buy' AND (SELECT sum(notional_usd) FROM v_bent_intents WHERE side = 'buy' AND notional_usd > 0) > {cash} THEN 'aggregate buy notional exceeds cash'
   ELSE '{gate.APPROVED}' END AS decision_reason
 FROM v_bent_intents i LEFT JOIN v_securities s ON s.security_id = i.security_id"""

@@ -76,7 +76,7 @@ MODEL = ModelConfig(
 )
 LIMITS = RiskLimits(
     now=NOW, portfolio_value_usd=1_000_000.0, cash_usd=1e12, max_name_weight_ratio=0.05,
-    max_order_notional_usd=30_000.0, min_adv_usd=31_000.0, max_adv_participation_ratio=0.25,
+    max_order_notional_usd=30_000.0, min_adv_usd=31_000.0, max_adv_participation_ratio=0.60,
     broker_reconciled=True, reconciliation_checked_at=NOW - timedelta(minutes=30),
 )
 
@@ -92,8 +92,11 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def flow_periods(spark: SparkSession, d: str) -> DataFrame:
-    """(k, sem, start, finish, rev): what each issuer reports, by reporter style k mod 3."""
+def reported_periods(spark: SparkSession, d: str) -> DataFrame:
+    """(k, sem, start, finish, rev, cum): what each issuer reports, by reporter style k mod 3.
+
+    `rev` is the amount of a flow period, `cum` the running amount of a balance date.
+    """
     k, q, n = F.col("k"), F.col("q"), F.quarter("q")
     year_start = F.trunc("q", "year")
 
@@ -104,21 +107,22 @@ def flow_periods(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(F.lit(semantics).alias("sem"), start.alias("start"), finish.alias("finish"))
 
     year = period("fiscal_year", year_start, until(12))
-    quarters_only = F.array(period("fiscal_quarter", q, until(3, q)))
-    mixed = F.array_compact(
-        F.array(
-            F.when(n == 1, period("fiscal_quarter", year_start, until(3))),
-            F.when(n <= 2, period("fiscal_ytd", year_start, until(6))),
-            F.when(n <= 3, period("fiscal_ytd", year_start, until(9))),
-            year,
-        )
+    balance = F.when(k % 7 != 0, period("instant", F.lit(None).cast("date"), until(3, q)))
+    flows = F.array(
+        F.when(k % 3 == 0, period("fiscal_quarter", q, until(3, q))),
+        F.when((k % 3 == 1) & (n == 1), period("fiscal_quarter", year_start, until(3))),
+        F.when((k % 3 == 1) & (n <= 2), period("fiscal_ytd", year_start, until(6))),
+        F.when((k % 3 == 1) & (n <= 3), period("fiscal_ytd", year_start, until(9))),
+        F.when(k % 3 != 0, year),
+        balance,
     )
-    reported = F.when(k % 3 == 0, quarters_only).when(k % 3 == 1, mixed).otherwise(F.array(year))
+    running = W.partitionBy("k").orderBy("q").rowsBetween(W.unboundedPreceding, 0)
     return (
         quarterly(spark, d)
-        .select("k", "rev", F.inline(reported))
+        .withColumn("cum", F.sum("rev").over(running))
+        .select("k", "rev", "cum", F.inline(F.array_compact(flows)))
         .groupBy("k", "sem", "start", "finish")
-        .agg(F.sum("rev").alias("rev"))
+        .agg(F.sum("rev").alias("rev"), F.max("cum").alias("cum"))
     )
 
 
@@ -185,22 +189,13 @@ def _versions(n: Column, v: Column) -> Column:
 def wide_observations(spark: SparkSession, d: str) -> DataFrame:
     """Observations with their period dates still attached."""
     k = F.col("k")
-    flows = flow_periods(spark, d).select(
-        "k", "sem", "start", "finish", F.inline(_measures(k, F.col("rev"), F.col("finish")))
-    )
-    running = W.partitionBy("k").orderBy("q").rowsBetween(W.unboundedPreceding, 0)
-    instants = (
-        quarterly(spark, d)
-        .filter(k % 7 != 0)
-        .withColumn("cum", F.sum("rev").over(running))
-        .select(
-            "k", F.lit("instant").alias("sem"), F.lit(None).cast("date").alias("start"),
-            F.date_sub(F.add_months("q", 3), 1).alias("finish"), F.inline(_instants(k, F.col("cum"))),
-        )
-    )
     n = k + F.year("finish") * 4 + F.quarter("finish")
-    every = flows.unionByName(instants).select(
-        "k", "sem", "start", "finish", "metric_id", "basis_id", F.inline(_versions(n, F.col("v")))
+    measured = F.when(F.col("sem") == "instant", _instants(k, F.col("cum"))).otherwise(
+        _measures(k, F.col("rev"), F.col("finish")))
+    every = (
+        reported_periods(spark, d)
+        .select("k", "sem", "start", "finish", F.inline(measured))
+        .select("k", "sem", "start", "finish", "metric_id", "basis_id", F.inline(_versions(n, F.col("v"))))
     )
     finish, start = F.col("finish"), F.col("start")
     names = F.create_map(*[x for i, (name, _, _) in vocab.METRICS.items() for x in (F.lit(i), F.lit(name))])

@@ -36,7 +36,8 @@ SHAPE = [
     "security_id", "metric_id", "metric_kind", "basis_id", "dimensions_hash",
     "period_semantics", "period_start", "period_end", "duration_days",
 ]
-POINT_TYPE = "struct<value:double,period_start:date,available_at:timestamp,quality_flags:bigint>"
+VERSION_TYPE = "struct<order_key:bigint,observation_id:string,value:double,quality_flags:bigint,available_at:timestamp>"
+ANNUAL_TYPE = f"struct<end_day:int,start_day:int,oldest:{VERSION_TYPE},newest:{VERSION_TYPE}>"
 
 
 def period_shapes(facts: DataFrame, now: datetime | None = None, max_age_s: int = 0) -> DataFrame:
@@ -111,10 +112,9 @@ def _with_bridges(shapes: DataFrame) -> DataFrame:
         )
     )
     # one row for the shape itself (annual_pair NULL) and one per matching annual
-    no_pair = F.array(F.lit(None).cast(met.schema["annuals"].dataType.elementType))
-    paired = met.withColumn(
-        "annual_pair", F.explode(F.concat(no_pair, F.coalesce("annuals", F.array().cast(met.schema["annuals"].dataType))))
-    ).drop("annuals", "near_day")
+    no_pair = F.array(F.lit(None).cast(ANNUAL_TYPE))
+    partners = F.coalesce("annuals", F.array().cast(f"array<{ANNUAL_TYPE}>"))
+    paired = met.withColumn("annual_pair", F.explode(F.concat(no_pair, partners))).drop("annuals", "near_day")
 
     candidate = F.when(
         F.col("annual_pair").isNull() & F.col("metric_kind").isin(*FLOW_KINDS),

@@ -47,8 +47,9 @@ def check(spark, con, name, sf_dir):
         return "COLUMNS", len(got), len(want), (sorted(names), sorted(sql_names)), seconds
     if got == want:
         return "ok", len(got), len(want), None, seconds
-    only_spark = [r for r in got if r not in set(want)][:3]
-    only_sql = [r for r in want if r not in set(got)][:3]
+    got_set, want_set = set(got), set(want)
+    only_spark = [r for r in got if r not in want_set][:3]
+    only_sql = [r for r in want if r not in got_set][:3]
     return "DIFF", len(got), len(want), (only_spark, only_sql), seconds
 
 
