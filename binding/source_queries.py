@@ -184,7 +184,7 @@ def market_master(spark, d) -> DataFrame:
         F.when(F.col("p_size") % 10 == 0, 0.0).otherwise(F.col("p_size") * 1000.0).alias("shares_outstanding"), k.alias("row_order"))
 
 
-@query("market_bars_jsonl", "A3", "symbol:s time:s close:f6 volume:f", "SELECT * FROM v_bars")
+@query("market_bars_jsonl", "A3", "symbol:s time:s close:f volume:f", "SELECT * FROM v_bars")
 def market_bars_jsonl(spark, d):
     """Bars written as feed lines (text price, alias keys) and read back."""
     path = scratch(spark)
@@ -218,8 +218,10 @@ def security_seeds(spark, d):
     return market.security_seeds(market_master(spark, d), bars(spark, d), None, 20)
 
 
-@query("security_seed_csv", "A4", "cik:s ticker:s price_usd:f4 shares_outstanding:f investable:s databento_bar_count:i", """
-SELECT cik, symbol AS ticker, round(price_usd, 6) AS price_usd, shares_outstanding, '1' AS investable, bar_count AS databento_bar_count FROM v_seeds
+@query("security_seed_csv", "A4", "cik:s ticker:s price_usd:f shares_outstanding:f investable:s databento_bar_count:i", """
+SELECT cik, symbol AS ticker, CAST(h // 1000000 + CASE WHEN h % 1000000 > 500000 OR (h % 1000000 = 500000 AND (h // 1000000) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 1000000.0::DOUBLE AS price_usd,
+  shares_outstanding, '1' AS investable, bar_count AS databento_bar_count
+FROM (SELECT *, CAST(replace(CAST(CAST(CAST(price_usd AS VARCHAR) AS DECIMAL(30,12)) AS VARCHAR), '.', '') AS HUGEINT) AS h FROM v_seeds)
 """)
 def security_seed_csv(spark, d):
     path = scratch(spark)
@@ -529,7 +531,7 @@ SELECT o_orderkey, CAST(epoch(o_orderdate) / 86400 AS BIGINT) AS day, strftime(o
 def epoch_texts(spark, d):
     day = dates.epoch_day(F.date_format("o_orderdate", "yyyy-MM-dd"))
     return t.table(spark, d, "orders").select(
-        "o_orderkey", day.alias("day"), dates.day_text(day).alias("day_text"), dates.second_text(F.unix_seconds("o_orderdate")).alias("second_text"))
+        "o_orderkey", day.alias("day"), dates.day_text(day).alias("day_text"), dates.second_text(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("second_text"))
 
 
 @query("vocabulary_codes", "B7", "observation_id:s kind_code:i period_code:i status_code:i kind:s metric_name:s", """

@@ -16,7 +16,7 @@ def _text(c: Column, kind: str) -> Column:
     if kind == "num":
         out = F.coalesce(c.try_cast("decimal(38,6)").cast("string"), c.cast("string"))
     elif kind == "time":
-        out = F.unix_seconds(c).cast("string")
+        out = F.unix_seconds(c.cast("timestamp")).cast("string")
     elif kind == "str":
         out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
     else:

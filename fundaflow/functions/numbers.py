@@ -49,8 +49,9 @@ def integer_text(text: Column) -> Column:
 
 
 def trimmed_decimal(c: Column) -> Column:
-    """Six decimals without trailing zeros; non-finite values print as 0."""
-    text = F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", "")
+    """Six decimals, ties to even, without trailing zeros; non-finite values print as 0."""
+    fixed = F.coalesce(F.bround(c.try_cast("decimal(38,15)"), 6).cast("decimal(38,6)").cast("string"), F.format_string("%.6f", c))
+    text = F.regexp_replace(fixed, r"\.?0+$", "")
     return F.when(is_finite(c), text).otherwise(F.lit("0"))
 
 
