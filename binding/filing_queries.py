@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from binding import testdata as t
 from binding.registry import query
-from binding.source_queries import filings, scratch, write_submissions
+from binding.source_queries import filings
 from binding.views import view
 from fundaflow.config import FormLimits
 from fundaflow.operators import discovery, xbrl
@@ -282,11 +282,8 @@ SELECT DISTINCT accession_number, name, kind AS document_kind FROM (SELECT acces
   (VALUES ('index.json', 'sec_archive_index'), ('report.htm', 'inline_xbrl')) x(name, kind)
 """)
 def package_files(spark, d):
-    """Packages written to folders (index, document, notes and an unlisted file), then read back."""
-    from fundaflow.session import cut_lineage
-
-    root = scratch(spark)
-    docs = cut_lineage(corpus(spark, d).filter((F.col("document_kind") == "inline_xbrl") & F.col("accession_number").endswith("4")))
+    """Packages with an index, the document, listed notes and an unlisted file."""
+    docs = corpus(spark, d).filter((F.col("document_kind") == "inline_xbrl") & F.col("accession_number").endswith("4"))
     index = F.lit('{"directory": {"item": [{"name": "report.htm"}, {"name": "notes.txt"}, {"name": "../up.xml"}, {"name": "/abs.xsd"}]}}')
     package = F.replace("accession_number", F.lit("-"), F.lit(""))
     items = docs.select("cik", package.alias("package"), F.inline(F.array(
@@ -294,12 +291,8 @@ def package_files(spark, d):
         F.struct(F.lit("report.htm").alias("file"), F.col("content").cast("string").alias("value")),
         F.struct(F.lit("notes.txt").alias("file"), F.lit("note").alias("value")),
         F.struct(F.lit("extra.xml").alias("file"), F.lit("<a/>").alias("value")))))
-    items.write.partitionBy("cik", "package", "file").text(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-    # partition folders stand for the package folders: .../cik=C/package=P/file=F/part-x
-    parts = F.regexp_extract("path", r"cik=([^/]+)/package=([^/]+)/file=([^/]+)/", 1)
-    path = F.concat_ws("/", parts, F.regexp_extract("path", r"package=([^/]+)/", 1), F.regexp_extract("path", r"file=([^/]+)/", 1))
-    listed = raw.select(path.alias("path"), F.sha2("content", 256).alias("sha256"),
-                        F.when(path.endswith("/index.json"), F.col("content").cast("string")).alias("index_json"))
+    listed = items.select(
+        F.concat_ws("/", "cik", "package", "file").alias("path"), F.sha2("value", 256).alias("sha256"),
+        F.when(F.col("file") == "index.json", F.col("value")).alias("index_json"))
     known = docs.select("cik", "accession_number", F.lit("report.htm").alias("primary_document"), "form", "filed_at", "accepted_at")
     return files.package_files(listed, known)
