@@ -14,6 +14,7 @@ from binding.statement_queries import bound_statements
 from binding.views import view
 from fundaflow.config import DEFAULT_SCENARIOS
 from fundaflow.operators import gate, growth, portfolio, valuation
+from fundaflow.session import cut_lineage
 
 view("v_pairs", """
 WITH d AS (SELECT * FROM v_model_comparable WHERE metric_id IN (1, 2)
@@ -247,7 +248,7 @@ def bound_intents(spark, d) -> DataFrame:
     rows = portfolio.intents(bound_targets(spark, d), t.MODEL, t.LIMITS, "value-1",
                              F.lit("2002-03-31 00:00:00").cast("timestamp"))
     s = F.col("security_id")
-    return rows.select(
+    return cut_lineage(rows).select(
         F.concat(F.lit("intent-"), s.cast("string")).alias("intent_id"),
         F.when(s % 2 == 0, F.lit("run-even")).otherwise(F.lit("run-odd")).alias("run_id"),
         F.when(s % 23 == 5, s + 1_000_000).otherwise(s).alias("security_id"),
