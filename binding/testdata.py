@@ -198,18 +198,16 @@ def wide_observations(spark: SparkSession, d: str) -> DataFrame:
         .select("k", "sem", "start", "finish", "metric_id", "basis_id", F.inline(_versions(n, F.col("v"))))
     )
     finish, start = F.col("finish"), F.col("start")
-    names = F.create_map(*[x for i, (name, _, _) in vocab.METRICS.items() for x in (F.lit(i), F.lit(name))])
-    kinds = F.create_map(*[x for i, (_, kind, _) in vocab.METRICS.items() for x in (F.lit(i), F.lit(kind))])
-    units = F.create_map(*[x for i, (_, _, unit) in vocab.METRICS.items() for x in (F.lit(i), F.lit(unit))])
+    names, kinds, units = (F.array(*[F.lit(vocab.METRICS[i][j]) for i in range(1, 10)]) for j in range(3))
     filed = F.date_add(finish, F.col("lag_days"))
     return every.select(
         F.concat_ws("-", F.lit("obs"), "k", "metric_id", "sem", finish.cast("string"), "ver").alias("observation_id"),
         (k + 1).alias("security_id"),
         cik_of(k).alias("cik"),
         "metric_id",
-        names[F.col("metric_id")].alias("metric_name"),
-        kinds[F.col("metric_id")].alias("metric_kind"),
-        units[F.col("metric_id")].alias("unit_signature"),
+        F.get(names, F.col("metric_id") - 1).alias("metric_name"),
+        F.get(kinds, F.col("metric_id") - 1).alias("metric_kind"),
+        F.get(units, F.col("metric_id") - 1).alias("unit_signature"),
         "basis_id",
         F.concat_ws("-", F.lit("period"), "k", "sem", finish.cast("string")).alias("period_id"),
         F.col("sem").alias("period_semantics"),

@@ -100,21 +100,16 @@ def _with_bridges(shapes: DataFrame) -> DataFrame:
     )
     key = F.when(F.col("flow_class") == "annual", end_day + 1).otherwise(start_day)
     near = W.partitionBy(*identity).orderBy("near_day").rangeBetween(-DAY_TOLERANCE, DAY_TOLERANCE)
-    met = (
-        shapes.withColumn("near_day", key)
-        .withColumn("annuals", F.collect_list(annual).over(near))
-        .withColumn(
-            "annuals",
-            F.when(
-                is_current,
-                F.filter("annuals", lambda a: (a["end_day"] < end_day) & a["start_day"].isNotNull()),
-            ),
-        )
+    partners = F.filter(
+        F.collect_list(annual).over(near), lambda a: (a["end_day"] < end_day) & a["start_day"].isNotNull()
     )
     # one row for the shape itself (annual_pair NULL) and one per matching annual
     no_pair = F.array(F.lit(None).cast(ANNUAL_TYPE))
-    partners = F.coalesce("annuals", F.array().cast(f"array<{ANNUAL_TYPE}>"))
-    paired = met.withColumn("annual_pair", F.explode(F.concat(no_pair, partners))).drop("annuals", "near_day")
+    met = shapes.withColumn("near_day", key).withColumn("annuals", F.when(is_current, partners))
+    paired = met.select(
+        *[c for c in shapes.columns],
+        F.explode(F.concat(no_pair, F.coalesce("annuals", F.array().cast(f"array<{ANNUAL_TYPE}>")))).alias("annual_pair"),
+    )
 
     candidate = F.when(
         F.col("annual_pair").isNull() & F.col("metric_kind").isin(*FLOW_KINDS),
@@ -134,24 +129,12 @@ def _with_bridges(shapes: DataFrame) -> DataFrame:
         .orderBy("prior_day")
         .rangeBetween(-DAY_TOLERANCE, DAY_TOLERANCE)
     )
-    with_prior = (
-        paired.withColumn("prior_day", prior_key)
-        .withColumn("priors", F.collect_list(candidate).over(around))
-        .withColumn(
-            "prior",
-            F.when(
-                F.col("annual_pair").isNotNull(),
-                F.array_min(
-                    F.filter(
-                        "priors",
-                        lambda p: (p["end_day"] < F.col("annual_pair.end_day"))
-                        & close_days(p["days"], F.col("duration_days")),
-                    )
-                ),
-            ),
-        )
-        .drop("priors", "prior_day")
+    found = F.filter(
+        F.collect_list(candidate).over(around),
+        lambda p: (p["end_day"] < F.col("annual_pair.end_day")) & close_days(p["days"], F.col("duration_days")),
     )
+    with_prior = paired.withColumn("prior_day", prior_key).withColumn(
+        "prior", F.when(F.col("annual_pair").isNotNull(), F.array_min(found)))
 
     def bridge(current: str, year: str) -> Column:
         c, a, p = F.col(current), F.col("annual_pair")[year], F.col("prior")
@@ -275,7 +258,7 @@ def _cascade(ladder: DataFrame) -> DataFrame:
         .when(F.col("bridge").isNotNull(), F.lit("bridge"))
     )
     value = F.coalesce(_as_point("annual"), _as_point("four_quarters"), _as_point("bridge"))
-    return ladder.withColumn("flow", value).withColumn("flow_source", source)
+    return ladder.withColumns({"flow": value, "flow_source": source})
 
 
 def flow_ttm(facts: DataFrame, now: datetime | None = None, max_age_s: int = 0) -> DataFrame:
@@ -304,9 +287,7 @@ def statement_timeline(facts: DataFrame, now: datetime | None = None, max_age_s:
         *[of_metric(m, "point").alias(names[m]) for m in POINT_METRICS],
     )
     upto = W.partitionBy("security_id").orderBy("period_end").rowsBetween(W.unboundedPreceding, 0)
-    for m in POINT_METRICS:
-        pivot = pivot.withColumn(names[m], F.last(names[m], ignorenulls=True).over(upto))
-    return pivot
+    return pivot.withColumns({names[m]: F.last(names[m], ignorenulls=True).over(upto) for m in POINT_METRICS})
 
 
 def _newest_anchors(timeline: DataFrame, n: int) -> DataFrame:
