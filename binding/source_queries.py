@@ -16,7 +16,7 @@ from fundaflow import vocab
 from fundaflow.functions import dates, flags, ids, numbers, text
 from fundaflow.operators import features, market, report, universe
 from fundaflow.plans import runs
-from fundaflow.session import shared_dir
+from fundaflow.session import cut_lineage, shared_dir
 from fundaflow.sources import files, ledger, tables
 
 
@@ -342,8 +342,13 @@ def latest_as_of(spark, d):
     return rows.select("security_id", "symbol", "peer_group", "industry", "latest.period_end", "latest.available_at", "latest.snapshot_id")
 
 
+def stored_snapshots(spark, d) -> DataFrame:
+    """Statement snapshots as the stored table they are for the feature step."""
+    return cut_lineage(bound_snapshots(spark, d))
+
+
 def _paired(spark, d) -> DataFrame:
-    snaps = bound_snapshots(spark, d)
+    snaps = stored_snapshots(spark, d)
     return features.prior_year(features.latest_as_of(snaps, t.securities(spark, d), t.AS_OF), snaps, t.AS_OF)
 
 
@@ -378,7 +383,7 @@ SELECT *, 'feat-' || sha256('name=daily|as_of_time=' || CAST(epoch(TIMEstamp() '
 
 
 def bound_feature_run(spark, d):
-    return runs.feature_run(bound_snapshots(spark, d), t.securities(spark, d), "daily", t.AS_OF, stamp())
+    return runs.feature_run(stored_snapshots(spark, d), t.securities(spark, d), "daily", t.AS_OF, stamp())
 
 
 @query("feature_snapshot", "J5", "feature_snapshot_id:s input_statement_hash:s security_count:i flagged_count:i", "SELECT * FROM v_feature_snapshot")
@@ -476,9 +481,7 @@ UNION ALL SELECT 'statement_quality', name, CAST(value AS VARCHAR) FROM (UNPIVOT
 UNION ALL SELECT 'flagged_statements', symbol, concat_ws(' ', period_end, fcf_usd, quality_flags, names) FROM v_flagged
 """)
 def daily_report(spark, d):
-    from fundaflow.session import cut_lineage
-
-    snaps = cut_lineage(bound_snapshots(spark, d))
+    snaps = stored_snapshots(spark, d)
     sec = t.securities(spark, d)
     run = runs.feature_run(snaps, sec, "daily", t.AS_OF, stamp())
     return report.daily_report(

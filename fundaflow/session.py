@@ -16,6 +16,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
+# Set when a session is created: call-site capture on every column expression dominates the
+# time to build large plans.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
@@ -35,7 +39,7 @@ def local_session(cores: int | str = "*", app: str = "fundaflow", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8" if n == "*" else n)
         .config("spark.driver.memory", "12g")
     )
-    for key, value in {**RUNTIME_SETTINGS, **conf}.items():
+    for key, value in {**RUNTIME_SETTINGS, **START_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
