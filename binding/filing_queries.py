@@ -224,11 +224,11 @@ def vocabulary_join(spark, d):
 
 @query("discover_filings", "C1", "accession_number:s form:s source_url:s events:i", """
 SELECT accession_number, form, 'https://www.sec.gov/Archives/edgar/data/' || CAST(cik AS BIGINT) || '/' || replace(accession_number, '-', '') || '/' || primary_document AS source_url, 1 AS events
-FROM (SELECT * FROM v_submissions WHERE upper(form) IN ('10-K', '10-Q/A') QUALIFY row_number() OVER (PARTITION BY cik ORDER BY pos) <= 25) WHERE ok % 10 <> 0
+FROM (SELECT * FROM v_submissions WHERE upper(form) IN ('10-K', '10-Q/A') QUALIFY row_number() OVER (PARTITION BY cik ORDER BY pos) <= 3) WHERE ok % 10 <> 0
 """)
 def discover_filings(spark, d):
     every = filings(spark, d)
-    found = discovery.discover_filings(every, "10-K,10-Q/A", 25)
+    found = discovery.discover_filings(every, "10-K,10-Q/A", 3)
     fresh = discovery.new_filings(found, every.filter(F.col("ok") % 10 == 0))
     seen = ledger.event_rows(fresh, "filing_seen", ["cik", "accession_number", "form", "filing_date", "accepted_at", "primary_document", "source_url"],
                              F.lit(t.INSERTED_AT).cast("timestamp"))
@@ -239,10 +239,10 @@ def discover_filings(spark, d):
 @query("filings_by_group", "C2", "accession_number:s form_group:s group_rank:i", """
 SELECT *, row_number() OVER (PARTITION BY cik, form_group ORDER BY filing_date DESC, accepted_at DESC, accession_number) AS group_rank
 FROM (SELECT *, CASE WHEN upper(form) IN ('10-K', '10-K/A') THEN 'annual' WHEN upper(form) IN ('10-Q', '10-Q/A') THEN 'quarterly' ELSE 'other' END AS form_group FROM v_submissions)
-QUALIFY group_rank <= CASE form_group WHEN 'annual' THEN 4 WHEN 'quarterly' THEN 12 ELSE 1 END
+QUALIFY group_rank <= CASE form_group WHEN 'annual' THEN 2 WHEN 'quarterly' THEN 3 ELSE 1 END
 """)
 def filings_by_group(spark, d):
-    return discovery.select_filings_by_group(filings(spark, d), FormLimits(4, 12, 1, "10-K,10-K/A,10-Q,10-Q/A,8-K"))
+    return discovery.select_filings_by_group(filings(spark, d), FormLimits(2, 3, 1, "10-K,10-K/A,10-Q,10-Q/A,8-K"))
 
 
 def stored_filings(spark, d) -> DataFrame:

@@ -243,10 +243,10 @@ def seed_gaps(spark, d):
 SELECT cik, pos, accession_number, form, filing_date FROM v_submissions
 """)
 def submissions_json(spark, d):
-    """Submission documents written one per issuer, then read as rows."""
+    """One submission document per issuer and line, then read as rows."""
     path = scratch(spark)
     write_submissions(spark, d, path)
-    return files.read_submissions(spark, path)
+    return files.read_submissions(spark, path, multi_line=False)
 
 
 view("v_submissions", """
@@ -255,13 +255,13 @@ SELECT lpad(CAST(k AS VARCHAR), 10, '0') AS cik, row_number() OVER (PARTITION BY
   CASE o_orderkey % 6 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '10-q/A' WHEN 3 THEN '8-K' WHEN 4 THEN '10-Q' ELSE '10-K/A' END AS form,
   strftime(o_orderdate, '%Y-%m-%d') AS filing_date, strftime(o_orderdate, '%Y-%m-%d') || 'T12:00:00.000Z' AS accepted_at,
   'doc' || o_orderkey || '.htm' AS primary_document, o_orderkey AS ok
-FROM (SELECT o_custkey % 40 + 1 AS k, * FROM orders)
+FROM (SELECT o_custkey + 1 AS k, * FROM orders)
 """)
 
 
 def filings(spark, d) -> DataFrame:
-    """Submissions derived from orders: forty issuers, newest first."""
-    k, o = (F.col("o_custkey") % 40 + 1).alias("k"), F.col("o_orderkey")
+    """Submissions derived from orders: one issuer per customer, newest first."""
+    k, o = (F.col("o_custkey") + 1).alias("k"), F.col("o_orderkey")
     form = F.element_at(F.array(*[F.lit(f) for f in ("10-K", "10-Q", "10-q/A", "8-K", "10-Q", "10-K/A")]), (o % 6 + 1).cast("int"))
     newest = t.W.partitionBy("cik").orderBy(F.col("o_orderdate").desc(), "o_orderkey")
     return t.table(spark, d, "orders").withColumn("cik", F.lpad(k.cast("string"), 10, "0")).withColumn(
@@ -280,8 +280,7 @@ def write_submissions(spark, d, path: str) -> None:
     recent = F.struct(
         F.col("rows.accession_number").alias("accessionNumber"), F.col("rows.form").alias("form"), F.col("rows.filing_date").alias("filingDate"),
         F.col("rows.accepted_at").alias("acceptanceDateTime"), F.col("rows.primary_document").alias("primaryDocument"))
-    listed.select("cik", F.struct(recent.alias("recent")).alias("filings")).repartition("cik").write.option(
-        "maxRecordsPerFile", 1).json(path)
+    listed.select("cik", F.struct(recent.alias("recent")).alias("filings")).write.json(path)
 
 
 # ---- universe, features ---------------------------------------------------------------------------

@@ -74,6 +74,15 @@ def test_package_of_two_documents(spark):
     assert again["xbrl_facts"].count() == 0 and again["canonical_observations"].count() == 0
 
 
+def test_submissions_document(spark, tmp_path):
+    (tmp_path / "CIK.json").write_text("""{"cik": "77", "filings": {"recent": {
+      "accessionNumber": ["a-2", "a-1"], "form": ["10-Q", "8-K"], "filingDate": ["2024-02-01", "2024-01-01"],
+      "acceptanceDateTime": ["2024-02-01T01:00:00Z"], "primaryDocument": ["x.htm", ""]}}}""")
+    rows = files.read_submissions(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r.cik, r.pos, r.accession_number, r.accepted_at) for r in rows] == [
+        ("0000000077", 0, "a-2", "2024-02-01T01:00:00Z"), ("0000000077", 1, "a-1", "")]
+
+
 def write_package(root):
     folder = root / "0000000077" / "000000007723000001"
     folder.mkdir(parents=True)
