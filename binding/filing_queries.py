@@ -267,13 +267,13 @@ def latest_fetched_filing(spark, d):
 
 
 @query("package_hashes", "C5", "accession_number:s package_sha256:s", r"""
-SELECT 'pkg-' || (doc_id % 300) AS accession_number, sha256(string_agg(sha256(text), chr(10) ORDER BY CASE WHEN doc_id < 300 THEN 0 ELSE 1 END, CAST(doc_id AS VARCHAR))) AS package_sha256 FROM documents GROUP BY 1
+SELECT 'pkg-' || (doc_id // 4) AS accession_number, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id % 4 <> 0, CAST(doc_id AS VARCHAR))) AS package_sha256 FROM documents GROUP BY 1
 """)
 def package_hashes(spark, d):
     k = F.col("doc_id")
     rows = t.table(spark, d, "documents").select(
-        F.concat(F.lit("pkg-"), (k % 300).cast("string")).alias("accession_number"),
-        F.when(k < 300, F.lit("index.json")).otherwise(k.cast("string")).alias("name"), F.sha2("text", 256).alias("sha256"))
+        F.concat(F.lit("pkg-"), F.floor(k / 4).cast("string")).alias("accession_number"),
+        F.when(k % 4 == 0, F.lit("index.json")).otherwise(k.cast("string")).alias("name"), F.sha2("text", 256).alias("sha256"))
     return discovery.package_hash(rows)
 
 
