@@ -2,10 +2,10 @@
 
 Documents with the same set of shingles form one class before anything is compared, however many they are.
 Classes that share a band meet in its bucket.  A bucket's hub, the member with the most company over all
-bands, is compared with every other member; whatever that leaves unconnected is then compared member by
-member across components, in bounded tiles that emit only pairs whose signatures may reach the threshold.
-So a bucket of g members that belong together costs g comparisons, and no pair of a bucket whose link could
-matter goes unexamined.  A pair becomes a link only on its full sets.
+bands, is compared with every other member.  Buckets of one hub make up its group; where a group still holds
+several components, its members are compared across components in bounded tiles, which confirm on full sets
+and emit a spanning forest of links, not pairs.  So g members that belong together cost g comparisons, and no
+pair of a bucket whose link could matter goes unexamined.  A pair becomes a link only on its full sets.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 #: Of HASHES minima (compared by a byte each), as many as a pair at 0.8 has but for a chance of 2e-7.
 AGREEING = 79
-#: Members of a tile's side, and of the small buckets that share a task.
-BLOCK, BUNDLE = 1024, 20_000
+#: Members of a tile's side, and of the small groups that share a task.
+BLOCK, BUNDLE = 512, 1000
 MEMO = 500_000
 
 _rng = np.random.default_rng(20_231)
@@ -118,7 +118,7 @@ def _fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that sizes and signatures do not rule out."""
+    """The pairs (a, b), once each, that sizes and signatures do not rule out."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -128,17 +128,15 @@ def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         keep = ((x == y).sum(axis=1) >= AGREEING) & _fits(na.to_numpy(), nb.to_numpy(), percent)
         return pa.record_batch([a, b], names=["a", "b"]).filter(pa.array(keep))
 
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     return arrow_map(both.select("a", "b", "na", "sa", "nb", "sb"), check, "a long, b long", rows=20_000)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "h1", "h2").join(ids, "node")
+def full_sets(nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, set): the full sets of the nodes given (node, h1, h2), read from the texts again."""
     texts = pick(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
 
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, text, h1, h2 = (c.to_pylist() for c in batch.columns)
         out = {}
         for i, t, x, y in zip(node, text, h1, h2, strict=True):
@@ -148,8 +146,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
                 out[i] = s.tobytes()  # rows that share the id but not the set are no representatives
         return pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "set"])
 
-    of_nodes = texts.join(wanted, texts["doc"] == wanted["node"]).select("node", "text", "h1", "h2")
-    sets = checkpointed(arrow_map(of_nodes, whole, "node long, set binary", rows=1000))
+    of_nodes = texts.join(nodes, texts["doc"] == nodes["node"]).select("node", "text", "h1", "h2")
+    return arrow_map(of_nodes, whole, "node long, set binary", rows=1000)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -165,49 +167,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), check, "a long, b long", rows=2000)
 
 
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of each left with each right set, as products of incidence matrices over the hashes that both sides have."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    # float32 counts whole numbers exactly up to 2^24, far beyond a strip's width
+    for at in range(0, len(common), 4096):
+        strip = common[at : at + 4096]
+        sides = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(strip)), np.float32)
+            for i, s in enumerate(sets):
+                lo, hi = np.searchsorted(s, [strip[0], strip[-1]])
+                part = s[lo : hi + 1]
+                place = np.searchsorted(strip, part)
+                place[place == len(strip)] = 0
+                m[i, place[strip[place] == part]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def joining_links(left: np.ndarray, right: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, sets: list[bytes],
+                  percent: int) -> list[tuple[int, int]]:
+    """Links between rows `left` and rows `right` that join different components: a spanning forest of them, not all."""
+    names, count = np.unique(comp[np.concatenate([left, right])], return_counts=True)
+    if len(names) < 2:
+        return []
+    largest = names[count.argmax()]
+    up = {c: c for c in names.tolist()}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    out = []
+    # no pair inside the largest component matters: its rows meet the other rows only
+    for x, y in ((left[comp[left] != largest], right), (left[comp[left] == largest], right[comp[right] != largest])):
+        for at in range(0, len(x), 128):
+            rows, others = x[at : at + 128], y
+            ok = (comp[rows][:, None] != comp[others][None, :]) & _fits(n[rows][:, None], n[others][None, :], percent)
+            if not ok.any():
+                continue
+            ok &= _agreement(sig[rows], sig[others]) >= AGREEING
+            rows, others, ok = rows[ok.any(axis=1)], others[ok.any(axis=0)], ok[ok.any(axis=1)][:, ok.any(axis=0)]
+            if not ok.size:
+                continue
+            shared = shared_sizes([np.frombuffer(sets[i], np.uint64) for i in rows], [np.frombuffer(sets[j], np.uint64) for j in others])
+            union = n[rows][:, None] + n[others][None, :] - shared
+            for i, j in zip(*np.nonzero(ok & (100 * shared >= percent * union)), strict=True):
+                a, b = root(int(comp[rows[i]])), root(int(comp[others[j]]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(node[rows[i]]), int(node[others[j]])))
+    return out
+
+
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components in the buckets given (key, node, comp, hub, n, sig).
+    """Links (a, b) that join different components within the groups given (hub, node, comp, n, sig, set).
 
-    A large bucket is dealt into tiles of two blocks each, small buckets are bundled; a task holds one tile or
-    bundle.  Pairs with the hub have been compared before.
+    A large group is dealt into tiles of two blocks each, small groups are bundled; a task holds one tile or
+    bundle, compares signatures, confirms on full sets and emits at most one link per component.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("m"))
-    sized = members.join(size, "key")
-    total = int(size.where(F.col("m") <= BLOCK).agg(F.sum("m")).first()[0] or 0)
+    sized = members.join(members.groupBy("hub").agg(F.count("*").alias("m")), "hub")
+    total = int(sized.where(F.col("m") <= BLOCK).count())
     bundles = max(1, total // BUNDLE)
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     tile = lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))
     dealt = sized.withColumn("own", block).withColumn("tiles", F.transform(F.sequence(F.lit(0), blocks - 1), tile))
+    small = F.col("m") <= BLOCK
     rows = dealt.withColumn("t", F.explode("tiles")).select(
-        F.when(F.col("m") <= BLOCK, F.pmod("key", F.lit(bundles))).otherwise(F.col("key")).alias("g"), F.when(F.col("m") <= BLOCK, F.lit(-1)).otherwise(F.col("t.i")).alias("i"),
-        F.when(F.col("m") <= BLOCK, F.lit(-1)).otherwise(F.col("t.j")).alias("j"), "key", "node", "comp", "hub", "n", "sig", "own",
+        F.when(small, F.pmod(F.xxhash64("hub"), F.lit(bundles))).otherwise(F.col("hub")).alias("g"), F.when(small, F.lit(-1)).otherwise(F.col("t.i")).alias("i"),
+        F.when(small, F.lit(-1)).otherwise(F.col("t.j")).alias("j"), "hub", "node", "comp", "n", "sig", "set", "own",
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        key, node, comp, hub, n, own = (group.column(c).to_numpy() for c in ("key", "node", "comp", "hub", "n", "own"))
+        hub, node, comp, n, own = (group.column(c).to_numpy() for c in ("hub", "node", "comp", "n", "own"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        sets = group.column("set").to_pylist()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        order = np.argsort(key, kind="stable")
-        edge = np.flatnonzero(np.diff(key[order])) + 1
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for rows_of in np.split(order, edge):
-            left, right = (rows_of[own[rows_of] == i], rows_of[own[rows_of] == j]) if i >= 0 else (rows_of, rows_of)
-            if not len(left) or not len(right):
-                continue
-            ok = (comp[left][:, None] != comp[right][None, :]) & _fits(n[left][:, None], n[right][None, :], percent)
-            ok &= (node[left] != hub[left])[:, None] & (node[right] != hub[right])[None, :]
-            if i < 0 or i == j:
-                ok &= node[left][:, None] < node[right][None, :]
-            if ok.any():
-                at_left = ok.any(axis=1)
-                left, ok = left[at_left], ok[at_left]
-                x, y = np.nonzero(ok & (_agreement(sig[left], sig[right]) >= AGREEING))
-                a_out.append(node[left[x]])
-                b_out.append(node[right[y]])
-        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
+        order = np.argsort(hub, kind="stable")
+        out: list[tuple[int, int]] = []
+        for at in np.split(order, np.flatnonzero(np.diff(hub[order])) + 1):
+            left, right = (at[own[at] == i], at[own[at] == j]) if i >= 0 else (at, at)
+            out += joining_links(left, right, node, comp, n, sig, sets, percent)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -231,19 +280,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = checkpointed(members.join(shared, "key"))
     weight = members.groupBy("node").agg(F.sum("m").alias("weight"))
     hubs = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    placed = members.join(hubs, "key")
-    find = lambda pairs: confirmed(checkpointed(filtered(pairs, nodes, percent)), docs, nodes, percent, width, id_col, text_col)
-
-    links = checkpointed(find(placed.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    met = checkpointed(members.join(hubs, "key").select("hub", "node").distinct())  # the hub itself is in each of its groups
+    spokes = met.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    near = checkpointed(filtered(spokes, nodes, percent))
+    crowds = met.groupBy("hub").agg(F.count("*").alias("m")).where("m > 2")  # beyond the hub's own pairs, only these have any
+    needed = near.select(F.explode(F.array("a", "b")).alias("node")).union(met.join(crowds, "hub").select("node")).distinct()
+    sets = checkpointed(full_sets(nodes.select("node", "h1", "h2").join(needed, "node"), docs, width, id_col, text_col))
+    links = checkpointed(confirmed(near, sets, percent))
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(edges)
 
-    more = placed.where("m > 2").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    apart = more.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rest = checkpointed(more.join(apart, "key").select("key", "node", "comp", "hub"))
+    placed = met.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("comp"))
+    apart = placed.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi AND m > 2").select("hub")
+    rest = checkpointed(placed.join(apart, "hub"))
     if rest.take(1):
-        pairs = across(rest.join(nodes.select("node", "n", "sig"), "node"), percent)
-        further = checkpointed(find(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        members = rest.join(nodes.select("node", "n", "sig"), "node").join(sets, "node")
+        further = checkpointed(across(members, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
         if further.take(1):
             found = components(edges.union(further))
 
