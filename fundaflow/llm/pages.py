@@ -73,6 +73,7 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.label, self.path = [-1], ["#"], ["#"], [0]
         self.last = [0]  # the last node below each
+        self.begin, self.end = [0], [0]  # the items below each
         self.hidden = [False]
         self.items: list[tuple[int, str | None]] = []
         self._read(source)
@@ -93,6 +94,8 @@ class Page:
         self.label.append(label)
         self.path.append(xxhash.xxh3_64_intdigest(label, self.path[up]))
         self.hidden.append(hidden)
+        self.begin.append(len(self.items))
+        self.end.append(len(self.items))
         self.last.append(len(self.tag) - 1)
         return len(self.tag) - 1
 
@@ -101,6 +104,8 @@ class Page:
         n = len(source)
 
         def close(to: int) -> None:
+            for x in stack[to:]:
+                self.end[x] = len(items)
             if any(tag_of[x] in _BLOCK for x in stack[to:]):
                 items.append((stack[to], None))
             del stack[to:]
@@ -143,6 +148,8 @@ class Page:
                 at = end.end() if end else n
             elif tag not in _VOID:
                 stack.append(node)
+        for x in stack:
+            self.end[x] = len(items)
         for k in range(len(tag_of) - 1, 0, -1):
             up = self.parent[k]
             self.last[up] = max(self.last[up], self.last[k])
@@ -185,12 +192,11 @@ class Page:
     def branches(self) -> list[tuple[int, int, int]]:
         """(path, style, content) of each node that importance may remove: hashes of the presentations and of the text below it."""
         dropped, inside, protected = self.states()
-        places, texts = [x for x, t in self.items if t is not None], [t for _, t in self.items if t is not None]
         out = []
         for k in range(1, len(self.tag)):
             if inside[k] and not dropped[k] and not protected[k]:
                 style = xxhash.xxh3_64_intdigest("\0".join(f"{self.path[x]:x}" for x in range(k, self.last[k] + 1)))
-                content = xxhash.xxh3_64_intdigest(" ".join(" ".join(t for x, t in zip(places, texts, strict=True) if k <= x <= self.last[k]).split()))
+                content = xxhash.xxh3_64_intdigest(" ".join(" ".join(t for _, t in self.items[self.begin[k] : self.end[k]] if t is not None).split()))
                 out.append((self.path[k], style, content))
         return out
 
