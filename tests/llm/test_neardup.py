@@ -49,9 +49,8 @@ def result(frame, **args):
     return sorted((tuple(r) for r in neardup.near_duplicates(frame, **args).collect()), key=str)
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_equals_brute_force(spark, width):
-    rng = random.Random(width)
+def test_equals_brute_force(spark):
+    rng, width = random.Random(2), 2
     rows = [*corpus(rng, 260), (900, None), (901, ""), (902, " \n"), (903, "one"), (904, "One"), (905, "A b"), (906, "a  b"), (None, "a b"), (907, "x" * 50_000), (908, "w " * 20_000)]
     frame = spark.createDataFrame([(i, t, "c", "c", 1) for i, t in rows], SCHEMA)
     assert result(frame, width=width) == brute(rows, width, 80)
@@ -73,12 +72,12 @@ def test_members_that_only_the_base_links(spark):
 
 
 def test_second_pass_joins_what_hubs_leave(spark, monkeypatch):
-    """With tiles of two members and bands of one row, all work falls to the comparison across components."""
+    """Blocks of two members, so that groups are dealt into many tiles; five words."""
     monkeypatch.setattr(neardup, "BLOCK", 2)
     rng = random.Random(6)
     rows = corpus(rng, 120)
     frame = spark.createDataFrame([(i, t, "c", "c", 1) for i, t in rows], SCHEMA)
-    assert result(frame, width=2) == brute(rows, 2, 80)
+    assert result(frame, width=5) == brute(rows, 5, 80)
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -88,6 +87,38 @@ def test_repeated_rows_and_empty_table(spark):
     assert neardup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_tiles_emit_a_forest_of_links_across_components():
+    """Against all pairs: the same components, and fewer links than members."""
+    rng = random.Random(3)
+    texts = [t for _, t in corpus(rng, 150)]
+    sets = [neardup.shingles(t) for t in texts]
+    keep = [i for i, s in enumerate(sets) if len(s)]
+    sets = [sets[i] for i in keep]
+    n, node = np.array([len(s) for s in sets]), np.arange(len(sets))
+    sig = np.array([np.frombuffer((neardup._mix(neardup.minima(s)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), np.uint8) for s in sets])
+    comp = np.where(node % 3 == 0, 0, node)  # a third is one component already
+    sizes = neardup.shared_sizes(sets, sets)
+    assert all(sizes[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(0, len(sets), 7) for j in range(len(sets)))
+    links = neardup.joining_links(node, node, node, comp, n, sig, [s.tobytes() for s in sets], 80)
+    assert len(links) < len(sets)
+
+    def labels(edges):
+        up = {int(c): int(c) for c in comp}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            x, y = sorted((find(int(comp[a])), find(int(comp[b]))))
+            up[y] = x
+        return [find(int(c)) for c in comp]
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * sizes[i, j] >= 80 * (n[i] + n[j] - sizes[i, j])]
+    assert labels(links) == labels(every)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(300)] + [(1000 + rng.randint(0, 80), 1000 + rng.randint(0, 80)) for _ in range(60)] + [(5000, 5000 + i) for i in range(200)] + [(None, 3), (9, 9)]
