@@ -17,7 +17,7 @@ from binding.source_queries import filings
 from binding.views import view
 from fundaflow.config import FormLimits
 from fundaflow.operators import discovery, xbrl
-from fundaflow.sources import files, ledger
+from fundaflow.sources import files
 
 CONCEPT = {1: "Revenues", 2: "NetIncomeLoss", 4: "WeightedAverageNumberOfDilutedSharesOutstanding",
            5: "NetCashProvidedByUsedInOperatingActivities", 6: "PaymentsToAcquirePropertyPlantAndEquipment",
@@ -186,8 +186,8 @@ SELECT *, k + 1 AS security_id, CAST(finish + 30 AS TIMESTAMP) + INTERVAL 16 HOU
 """)
 def raw_facts(spark, d):
     """The corpus delivered twice; equal facts count once."""
-    both = parsed(spark, d)
-    return xbrl.build_raw_facts(both.unionByName(both))
+    docs = corpus(spark, d)
+    return xbrl.build_raw_facts(xbrl.parse_documents(xbrl.distinct_documents(docs.unionByName(docs))))
 
 
 @query("resolved_observations", "C15", "security_id:i metric_id:i basis_id:i period_semantics:s fiscal_year:i fiscal_period:s duration_days:i value:f unit_signature:s selection_reason:s", """
@@ -222,18 +222,17 @@ def vocabulary_join(spark, d):
 
 # ---- discovery ------------------------------------------------------------------------------------------
 
-@query("discover_filings", "C1", "accession_number:s form:s source_url:s events:i", """
-SELECT accession_number, form, 'https://www.sec.gov/Archives/edgar/data/' || CAST(cik AS BIGINT) || '/' || replace(accession_number, '-', '') || '/' || primary_document AS source_url, 1 AS events
-FROM (SELECT * FROM v_submissions WHERE upper(form) IN ('10-K', '10-Q/A') QUALIFY row_number() OVER (PARTITION BY cik ORDER BY pos) <= 3) WHERE ok % 10 <> 0
+@query("discover_filings", "C1", "accession_number:s form:s source_url:s is_new:b events:i", """
+SELECT accession_number, form, ok % 10 <> 0 AS is_new, 'https://www.sec.gov/Archives/edgar/data/' || CAST(cik AS BIGINT) || '/' || replace(accession_number, '-', '') || '/' || primary_document AS source_url, 1 AS events
+FROM (SELECT * FROM v_submissions WHERE upper(form) IN ('10-K', '10-Q/A') QUALIFY row_number() OVER (PARTITION BY cik ORDER BY pos) <= 3)
 """)
 def discover_filings(spark, d):
     every = filings(spark, d)
     found = discovery.discover_filings(every, "10-K,10-Q/A", 3)
-    fresh = discovery.new_filings(found, every.filter(F.col("ok") % 10 == 0))
-    seen = ledger.event_rows(fresh, "filing_seen", ["cik", "accession_number", "form", "filing_date", "accepted_at", "primary_document", "source_url"],
-                             F.lit(t.INSERTED_AT).cast("timestamp"))
+    fresh = discovery.new_filings(found, every.filter(F.col("ok") % 10 == 0)).select("accession_number", F.lit(True).alias("is_new"))
+    seen = discovery.filing_seen(found, F.lit(t.INSERTED_AT).cast("timestamp"))
     counted = seen.groupBy(F.get_json_object("payload_json", "$.accession_number").alias("accession_number")).agg(F.count("*").alias("events"))
-    return fresh.join(counted, "accession_number")
+    return found.join(counted, "accession_number").join(fresh, "accession_number", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
 
 @query("filings_by_group", "C2", "accession_number:s form_group:s group_rank:i", """
@@ -278,12 +277,12 @@ def package_hashes(spark, d):
 
 
 @query("package_files", "A6", "accession_number:s name:s document_kind:s", """
-SELECT DISTINCT accession_number, name, kind AS document_kind FROM (SELECT accession_number, k FROM v_filed WHERE k % 5 <> 0 AND quarter(finish) = 4 GROUP BY ALL),
+SELECT DISTINCT accession_number, name, kind AS document_kind FROM (SELECT accession_number, k FROM v_filed WHERE k % 5 <> 0 GROUP BY ALL),
   (VALUES ('index.json', 'sec_archive_index'), ('report.htm', 'inline_xbrl')) x(name, kind)
 """)
 def package_files(spark, d):
     """Packages with an index, the document, listed notes and an unlisted file."""
-    docs = corpus(spark, d).filter((F.col("document_kind") == "inline_xbrl") & F.col("accession_number").endswith("4"))
+    docs = corpus(spark, d).filter(F.col("document_kind") == "inline_xbrl")
     index = F.lit('{"directory": {"item": [{"name": "report.htm"}, {"name": "notes.txt"}, {"name": "../up.xml"}, {"name": "/abs.xsd"}]}}')
     package = F.replace("accession_number", F.lit("-"), F.lit(""))
     items = docs.select("cik", package.alias("package"), F.inline(F.array(

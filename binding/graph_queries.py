@@ -153,21 +153,32 @@ def algorithms(spark, d) -> DataFrame:
         F.array(F.concat(F.lit("res."), (F.col("k") % 4).cast("string"))).alias("resources"))
 
 
-@query("register_products", "M1", "product_type:s cell_id:s n_edges:i new_edges:i n:i", """
-SELECT product_type, 'cell:' || conv_id AS cell_id, 0 AS n_edges, 0 AS new_edges, 1 AS n FROM v_products WHERE conv_id % 3 <> 0 AND FALSE
-UNION ALL SELECT product_type, 'cell:' || p.conv_id, CAST(turn > first AS INTEGER), CAST(turn > first AS INTEGER), 1 FROM v_products p JOIN (SELECT conv_id, min(turn) AS first FROM v_products GROUP BY 1) f ON f.conv_id = p.conv_id WHERE p.conv_id % 3 <> 0
+_LANES = " || ':' || ".join(
+    f"l || ':' || l".replace("l", f"CAST(CAST(CAST('0x' || substr(h, {1 + 16 * k}, 16) AS UBIGINT) AS HUGEINT) - CASE WHEN substr(h, {1 + 16 * k}, 1) >= '8' THEN 18446744073709551616::HUGEINT ELSE 0 END AS VARCHAR)")
+    for k in range(4))
+view("v_registered", f"""
+SELECT *, 'prod_' || left(sha256('available_at=' || CAST(epoch(available_at) AS BIGINT) || '|cell_id=cell:' || conv_id || '|config_sha256=' || config || '|content_sha256=' || content_sha256
+  || '|created_by_algorithm=' || created_by_algorithm || '|parents=' || coalesce('1:' || {_LANES}, 'none') || '|product_type=' || product_type), 48) AS made_id
+FROM (SELECT p.*, sha256(l.parent_product_id) AS h FROM v_products p LEFT JOIN v_lineage l ON l.child_product_id = p.product_id)
+""")
+
+
+@query("register_products", "M1", "product_id:s product_type:s cell_id:s n_edges:i", """
+SELECT made_id AS product_id, product_type, 'cell:' || conv_id AS cell_id, CAST(h IS NOT NULL AS INTEGER) AS n_edges FROM v_registered WHERE conv_id % 3 <> 0
 """)
 def register_products(spark, d):
-    """Registers everything twice, in two parent orders, on top of a third already stored."""
+    """Registers everything twice, with the parents in two orders, on top of a third already stored."""
     rows = products(spark, d).withColumn("product_key", F.col("product_id")).drop("product_id", "payload_json")
     parents = lineage_edges(spark, d).select(F.col("child_product_id").alias("product_key"), "parent_product_id", "role")
     stored = lineage.product_ids(rows.filter(F.col("conv_id") % 3 == 0), parents)
     no_edges = parents.filter(F.lit(False)).select(F.col("product_key").alias("child_product_id"), "parent_product_id", "role")
-    twice = rows.unionByName(rows)
-    vertices, edges = lineage.register_products(twice.dropDuplicates(["product_key"]), parents.orderBy(F.col("parent_product_id").desc()), stored, no_edges)
+    first = lineage.register_products(rows, parents, stored, no_edges)
+    # the second delivery, dealt and ordered otherwise, adds nothing
+    known = stored.select("product_id").unionByName(first[0].select("product_id"))
+    again = lineage.register_products(rows, parents.repartition(5, "parent_product_id").sortWithinPartitions(F.col("parent_product_id").desc()), known, first[1])
+    vertices, edges = first[0].unionByName(again[0]), first[1].unionByName(again[1])
     per_child = edges.groupBy(F.col("child_product_id").alias("product_id")).agg(F.count("*").alias("n_edges"))
-    return vertices.join(per_child, "product_id", "left").select(
-        "product_type", "cell_id", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("n_edges", F.lit(0)).alias("new_edges"), F.lit(1).alias("n"))
+    return vertices.join(per_child, "product_id", "left").select("product_id", "product_type", "cell_id", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
 @query("product_ancestors", "M2", "root_product_id:s product_id:s is_missing:b", """

@@ -341,10 +341,12 @@ def stageable_orders(spark, d):
 
 
 @query("submittable_orders", "I6", "intent_id:s security_id:i",
-       f"SELECT * FROM v_decided WHERE run_id = 'run-even' AND decision_reason = '{gate.APPROVED}' AND security_id % 4 <> 0")
+       f"SELECT * FROM v_decided WHERE decision_reason = '{gate.APPROVED}' AND security_id % 4 <> 0")
 def submittable_orders(spark, d):
-    decisions = _decisions(spark, d)
-    staged = decisions.filter("approved").withColumn("staged_order_id", F.concat(F.lit("staged-"), "intent_id"))
+    """Orders of both runs, staged as a stream would stage them; a quarter is already submitted."""
+    rows, moment = bound_intents(spark, d), F.lit("2002-03-31 02:00:00").cast("timestamp")
+    decisions = gate.gate_run(rows, rows.filter(F.lit(False)).select("intent_id"), t.securities(spark, d), t.LIMITS, moment)
+    staged = gate.stage(gate.stageable(decisions, rows, decisions.filter(F.lit(False)).select("decision_id"), "stage"), moment)
     events = staged.select(
         "staged_order_id",
         F.when(F.col("security_id") % 4 == 0, F.lit("mock_order_submitted")).otherwise(F.lit("acknowledged")).alias("event_type"))

@@ -38,13 +38,18 @@ def load_facts(spark, d):
     return tables.load_facts(t.observations(spark, d), t.reporting_periods(spark, d))
 
 
-@query("canonical_facts_view", "A9", "fact_id:s security_id:i metric_name:s value_decimal:f period_start:d period_end:d fiscal_year:i fiscal_period:s accession_number:s", """
-SELECT observation_id AS fact_id, o.security_id, metric_name, value AS value_decimal, coalesce(p.raw_start_date, p.raw_instant_date) AS period_start,
-  coalesce(p.raw_end_date, p.raw_instant_date) AS period_end, o.fiscal_year, o.fiscal_period, o.accession_number
+@query("canonical_facts_view", "A9", "fact_id:s security_id:i metric_id:i value:f period_start_date:d period_end_date:d available_at:t accession_number:s taxonomy:s tag:s unit:s "
+       "quality_flags:i fact_hash:s source_event_id:s inserted_at:t", """
+SELECT observation_id AS fact_id, o.security_id, metric_id, value, p.raw_start_date AS period_start_date, p.raw_end_date AS period_end_date, o.available_at,
+  o.accession_number, 'us-gaap' AS taxonomy, 'us-gaap:' || metric_name AS tag, unit_signature AS unit, quality_flags, sha256(observation_id) AS fact_hash,
+  NULL AS source_event_id, o.available_at AS inserted_at
 FROM v_observations o LEFT JOIN v_periods p USING (period_id) WHERE observation_status IN ('selected', 'derived')
 """)
 def canonical_facts_view(spark, d):
-    return tables.canonical_facts_view(t.observations(spark, d), t.reporting_periods(spark, d))
+    """All statuses go in; instants have no dates."""
+    stored = t.observations(spark, d).withColumns({
+        "concept_qname": F.concat(F.lit("us-gaap:"), "metric_name"), "observation_hash": F.sha2("observation_id", 256), "created_at": F.col("available_at")})
+    return tables.canonical_facts_view(stored, t.reporting_periods(spark, d))
 
 
 @query("append_new_rows", "A10", "url:s", "SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
@@ -348,7 +353,7 @@ def stored_snapshots(spark, d) -> DataFrame:
 
 def _paired(spark, d) -> DataFrame:
     snaps = stored_snapshots(spark, d)
-    return features.prior_year(features.latest_as_of(snaps, t.securities(spark, d), t.AS_OF), snaps, t.AS_OF)
+    return features.latest_with_prior(snaps, t.securities(spark, d), t.AS_OF)
 
 
 @query("prior_year_statement", "J2", "security_id:i period_end:d p_end:d p_id:s", "SELECT * FROM v_latest_as_of LEFT JOIN v_prior USING (security_id)")
@@ -373,10 +378,12 @@ def feature_flag_counts(spark, d):
 
 
 view("v_feature_snapshot", """
-WITH b AS (SELECT *, CAST('0x' || left(sha256('security_id=' || security_id || '|latest=' || source_statement_snapshot_id || '|latest_hash=' || latest_source_hash
-    || '|previous=' || coalesce(previous_statement_snapshot_id, '~') || '|previous_hash=' || coalesce(previous_source_hash, '~')), 15) AS BIGINT) AS bits FROM v_features),
-a AS (SELECT count(*) AS security_count, count(*) FILTER (feature_quality_flags <> 0 OR statement_quality_flags <> 0) AS flagged_count, sum(CAST(bits AS HUGEINT)) AS s, bit_xor(bits) AS x FROM b),
-h AS (SELECT *, sha256('s=' || s || '|x=' || x || '|n=' || security_count) AS input_statement_hash FROM a)
+WITH b AS (SELECT *, sha256('security_id=' || security_id || '|latest=' || source_statement_snapshot_id || '|latest_hash=' || latest_source_hash
+    || '|previous=' || coalesce(previous_statement_snapshot_id, '~') || '|previous_hash=' || coalesce(previous_source_hash, '~')) AS digest FROM v_features),
+l AS (SELECT *, """ + ", ".join(f"CAST(CAST(CAST('0x' || substr(digest, {1 + 16 * k}, 16) AS UBIGINT) AS HUGEINT) - CASE WHEN substr(digest, {1 + 16 * k}, 1) >= '8' THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS l{k}" for k in range(4)) + """ FROM b),
+a AS (SELECT count(*) AS security_count, count(*) FILTER (feature_quality_flags <> 0 OR statement_quality_flags <> 0) AS flagged_count,
+  concat_ws(':', count(*), """ + ", ".join(f"coalesce(sum(CAST(l{k} AS HUGEINT)), 0), coalesce(bit_xor(l{k}), 0)" for k in range(4)) + """) AS sources FROM l),
+h AS (SELECT *, sha256('sources=' || sources) AS input_statement_hash FROM a)
 SELECT *, 'feat-' || sha256('name=daily|as_of_time=' || CAST(epoch(TIMEstamp() '2000-06-30') AS BIGINT) || '|feature_version=feature_snapshot.v1|universe_snapshot_id=~|input_statement_hash=' || input_statement_hash) AS feature_snapshot_id FROM h
 """)
 

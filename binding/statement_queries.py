@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from binding import testdata as t
 from binding.registry import query
 from binding.views import view
+from fundaflow.config import REFERENCE_ANCHORS
 from fundaflow.operators import select, statements, ttm
 
 FACT = "security_id:i metric_id:i period_end:d"
@@ -83,7 +84,7 @@ QUALIFY anchor_rank <= 12
 
 @query("statement_anchors", "F1", "security_id:i period_end:d anchor_rank:i", "SELECT * FROM v_anchors")
 def statement_anchors(spark, d):
-    return ttm.anchors(t.facts(spark, d), t.securities(spark, d))
+    return ttm.anchors(t.facts(spark, d), t.securities(spark, d), REFERENCE_ANCHORS)
 
 
 view("v_ttm_annual", """
@@ -166,7 +167,7 @@ QUALIFY row_number() OVER (PARTITION BY p.security_id, p.metric_id, a.period_end
 @query("latest_point", "F6", f"{POINT} anchor_day:d", "SELECT * FROM v_latest_point")
 def latest_point(spark, d):
     facts = t.facts(spark, d)
-    return ttm.latest_point(facts, ttm.anchors(facts, t.securities(spark, d)))
+    return ttm.latest_point(facts, ttm.anchors(facts, t.securities(spark, d), REFERENCE_ANCHORS))
 
 
 def _obs_bits(flags: str) -> str:
@@ -200,7 +201,7 @@ STATEMENT = ("security_id:i period_start:d period_end:d available_at:t is_ttm:b
 
 
 def bound_statements(spark, d):
-    return statements.build_statements(t.facts(spark, d), t.securities(spark, d), t.NOW)
+    return statements.build_statements(t.facts(spark, d), t.securities(spark, d), t.NOW, max_anchors=REFERENCE_ANCHORS)
 
 
 @query("ttm_statements", "F7", STATEMENT, "SELECT * FROM v_statements")
@@ -219,7 +220,7 @@ _AMOUNTS = ["revenue_usd", "net_income_usd", "diluted_eps_usd", "diluted_shares"
 _HASHED = " || '|' || ".join(
     ["'security_id=' || security_id", "'period_start=' || CAST(period_start AS VARCHAR)", "'period_end=' || CAST(period_end AS VARCHAR)",
      "'available_at=' || CAST(epoch(available_at) AS BIGINT)", "'is_ttm=1'"]
-    + [f"'{a}=' || CAST(CAST({a} AS DECIMAL(38,6)) AS VARCHAR)" for a in _AMOUNTS]
+    + [f"'{a}=' || CAST(CAST({a} AS DECIMAL(38,6)) AS VARCHAR) || CASE WHEN CAST(CAST({a} AS DECIMAL(38,6)) AS DOUBLE) = {a} THEN '' ELSE '~' || CAST({a} AS VARCHAR) END" for a in _AMOUNTS]
     + ["'quality_flags=' || quality_flags", "'version=1'"])
 view("v_snapshots", f"""
 SELECT *, 'stmt-' || sha256('security_id=' || security_id || '|period_end=' || CAST(period_end AS VARCHAR) || '|available_at=' || CAST(epoch(available_at) AS BIGINT) || '|source_hash=' || source_hash) AS snapshot_id,

@@ -43,7 +43,10 @@ SCENARIO_RANGES = {
     "terminal_fcf_multiple": (0.0, 60.0),
     "probability_weight": (0.0, 1.0),
 }
-MAX_SCENARIOS = 3
+# What the reference's fixed buffers and request pacing allow.  No operator has them as a default;
+# pass them where its numbers are wanted.
+REFERENCE_ANCHORS, REFERENCE_SCENARIOS = 12, 3
+REFERENCE_FORM_LIMITS = {"annual": 4, "quarterly": 12, "other": 1}
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,9 @@ class RiskLimits:
 
 @dataclass(frozen=True)
 class FormLimits:
-    annual: int = 4
-    quarterly: int = 12
-    other: int = 1
+    """Newest filings per issuer and form group; None takes all, 0 leaves the group out."""
+
+    annual: int | None = None
+    quarterly: int | None = None
+    other: int | None = None
     forms: str = field(default="10-K,10-K/A,10-Q,10-Q/A")

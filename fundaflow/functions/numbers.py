@@ -56,5 +56,13 @@ def trimmed_decimal(c: Column) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """Sum that does not depend on the order in which partitions arrive."""
-    return F.sum(c.cast("decimal(38,18)")).cast("double")
+    """Sum of doubles that does not depend on the order in which partitions arrive.
+
+    Whole parts and fractions are summed apart, in fixed point: whole parts without any loss up to 1e38, fractions
+    to twenty digits.  Beyond that range, and for values that are not finite, it is the plain sum of doubles.
+    """
+    fraction = c % F.lit(1.0)
+    whole = F.try_sum((c - fraction).try_cast("decimal(38,0)"))
+    fits = F.count(c) == F.count((c - fraction).try_cast("decimal(38,0)"))
+    exact = whole.cast("double") + F.try_sum(fraction.try_cast("decimal(38,20)")).cast("double")
+    return F.when(fits, F.coalesce(exact, F.sum(c))).otherwise(F.sum(c))

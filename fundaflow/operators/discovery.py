@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from fundaflow.config import FormLimits
 from fundaflow.functions.text import archive_url, form_allowed, form_names, normalize_cik
+from fundaflow.sources.ledger import event_rows
 from fundaflow.sources.tables import new_rows
 
 ANNUAL_FORMS = ("10-K", "10-K/A")
@@ -30,42 +31,51 @@ def new_filings(discovered: DataFrame, stored: DataFrame) -> DataFrame:
     return new_rows(stored, discovered, ["accession_number"])
 
 
-def ingest_groups(limits: FormLimits) -> list[tuple[str, list[str] | None, int]]:
+def ingest_groups(limits: FormLimits) -> list[tuple[str, list[str] | None, int | None]]:
     """(group, forms, limit); one group without filter when the list has a wildcard."""
     if not limits.forms.replace(",", "").strip():
         return []
     names = form_names(limits.forms)
     if names is None:
-        total = limits.other or limits.annual + limits.quarterly
-        return [("all", None, total)] if total else []
+        both = None if limits.annual is None or limits.quarterly is None else limits.annual + limits.quarterly
+        total = both if limits.other == 0 else limits.other
+        return [("all", None, total)] if total != 0 else []
     rest = [n for n in names if n not in ANNUAL_FORMS + QUARTERLY_FORMS]
     groups = [
         ("annual", [f for f in ANNUAL_FORMS if f in names], limits.annual),
         ("quarterly", [f for f in QUARTERLY_FORMS if f in names], limits.quarterly),
         ("other", rest, limits.other),
     ]
-    return [g for g in groups if g[1] and g[2] > 0]
+    return [g for g in groups if g[1] and (g[2] is None or g[2] > 0)]
 
 
 def select_filings_by_group(filings: DataFrame, limits: FormLimits) -> DataFrame:
-    """Newest filings of each issuer and form group, each accession once."""
+    """Newest filings of each issuer and form group, all of a group without a limit; each accession once."""
     groups = ingest_groups(limits)
     label, cap = F.lit(None).cast("string"), F.lit(0)
     for name, forms, n in reversed(groups):
         hit = F.lit(True) if forms is None else F.upper(F.trim("form")).isin(forms)
-        label, cap = F.when(hit, F.lit(name)).otherwise(label), F.when(hit, F.lit(n)).otherwise(cap)
+        label, cap = F.when(hit, F.lit(name)).otherwise(label), F.when(hit, F.lit(n).cast("int")).otherwise(cap)
     newest = W.partitionBy("cik", "form_group").orderBy(F.col("filing_date").desc(), F.col("accepted_at").desc(), "accession_number")
-    most = max((n for _, _, n in groups), default=0)
-    return (
+    rows = (
         filings.withColumn("form_group", label)
         .withColumn("group_limit", cap)
         .filter(F.col("form_group").isNotNull())
         .withColumn("group_rank", F.row_number().over(newest))
-        .filter(F.col("group_rank") <= most)  # constant bound: lets Spark limit groups before the shuffle
-        .filter(F.col("group_rank") <= F.col("group_limit"))
-        .drop("group_limit")
-        .dropDuplicates(["accession_number"])
     )
+    if all(n is not None for _, _, n in groups):
+        # constant bound: lets Spark limit groups before the shuffle
+        rows = rows.filter(F.col("group_rank") <= max((n for _, _, n in groups), default=0))
+    kept = F.col("group_limit").isNull() | (F.col("group_rank") <= F.col("group_limit"))
+    return rows.filter(kept).drop("group_limit").dropDuplicates(["accession_number"])
+
+
+FILING_SEEN_FIELDS = ["cik", "accession_number", "form", "filing_date", "accepted_at", "primary_document", "source_url"]
+
+
+def filing_seen(emitted: DataFrame, created_at: Column) -> DataFrame:
+    """One ledger event per emitted filing, whether it was stored before or not."""
+    return event_rows(emitted, "filing_seen", FILING_SEEN_FIELDS, created_at)
 
 
 def _newest_first() -> list[Column]:

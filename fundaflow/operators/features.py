@@ -6,11 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from fundaflow import vocab
 from fundaflow.functions.dates import as_utc
 from fundaflow.functions.flags import bit_if, combine, has_any
-from fundaflow.functions.ids import content_hash, stable_id
+from fundaflow.functions.ids import content_hash, set_digest, stable_id
 from fundaflow.functions.numbers import is_finite, safe_ratio
 from fundaflow.functions.text import unclassified
 
@@ -44,13 +45,18 @@ def latest_as_of(statements: DataFrame, securities: DataFrame, as_of: datetime,
         .groupBy("security_id")
         .agg(F.max_by("statement", "period_end").alias("latest"))
     )
+    return _of_universe(newest, securities, universe)
+
+
+def _of_universe(rows: DataFrame, securities: DataFrame, universe: DataFrame | None) -> DataFrame:
+    """Rows of investable securities with their names, of universe members only if one is given."""
     listed = securities.filter("investable").select(
         "security_id", "symbol",
         unclassified(F.col("peer_group")).alias("peer_group"),
         unclassified(F.col("sector")).alias("sector"),
         unclassified(F.col("industry")).alias("industry"),
     )
-    rows = newest.join(listed, "security_id")
+    rows = rows.join(listed, "security_id")
     return rows if universe is None else rows.join(universe.select("security_id").distinct(), "security_id", "left_semi")
 
 
@@ -78,6 +84,22 @@ def prior_year(latest: DataFrame, statements: DataFrame, as_of: datetime) -> Dat
     return latest.join(best, "security_id", "left")
 
 
+def latest_with_prior(statements: DataFrame, securities: DataFrame, as_of: datetime, universe: DataFrame | None = None) -> DataFrame:
+    """latest_as_of() and prior_year() in one pass over the statements.
+
+    They are reduced to one row per security and end once; latest and prior then come from one
+    window and one aggregate by security, which share an exchange.
+    """
+    ends = newest_per_end(known_statements(statements, as_of))
+    newest = F.max("period_end").over(W.partitionBy("security_id"))
+    distance = F.abs(F.datediff("latest_end", "period_end") - PRIOR_TARGET_DAYS)
+    rank = F.struct(F.when(distance <= PRIOR_TOLERANCE_DAYS, 0).otherwise(1).alias("outside"), distance.alias("distance"), (-F.unix_date("period_end")).alias("age"))
+    older = F.col("period_end") < F.col("latest_end")
+    both = ends.withColumn("latest_end", newest).groupBy("security_id").agg(
+        F.max_by("statement", "period_end").alias("latest"), F.min_by(F.when(older, F.col("statement")), F.when(older, rank)).alias("previous"))
+    return _of_universe(both, securities, universe)
+
+
 def feature_flags() -> Column:
     """Six feature bits of a row holding `latest` and `previous`."""
     f, latest, previous = vocab.FEAT, F.col("latest"), F.col("previous")
@@ -152,23 +174,21 @@ def feature_snapshot(rows: DataFrame, name: str, as_of: datetime, universe_id: s
                      created_at: Column) -> DataFrame:
     """The snapshot header: input hash over all sources, id, row and flag counts.
 
-    The input hash is order-free and combines on the map side: each row contributes sixty bits
-    of the hash of its sources, and the sum and xor of those are hashed once.
+    The input hash is order-free and combines on the map side: all bits of the hashes of the
+    rows' sources enter a set digest, which is hashed once.
     """
     source = content_hash(
         security_id=(F.col("security_id"), "int"),
         latest=F.col("source_statement_snapshot_id"), latest_hash=F.col("latest_source_hash"),
         previous=F.col("previous_statement_snapshot_id"), previous_hash=F.col("previous_source_hash"),
     )
-    bits = F.conv(F.left(source, F.lit(15)), 16, 10).cast("long")
     flagged = (F.col("feature_quality_flags") != 0) | (F.col("statement_quality_flags") != 0)
     digest = rows.agg(
         F.count("*").alias("security_count"),
         F.count_if(flagged).alias("flagged_count"),
-        F.coalesce(F.sum(bits.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("s"),
-        F.coalesce(F.bit_xor(bits), F.lit(0).cast("long")).alias("x"),
+        set_digest(source).alias("sources"),
     )
-    input_hash = content_hash(s=(F.col("s"), "int"), x=(F.col("x"), "int"), n=(F.col("security_count"), "int"))
+    input_hash = content_hash(sources=F.col("sources"))
     return digest.select(
         F.lit(name).alias("name"),
         F.lit(universe_id).cast("string").alias("universe_snapshot_id"),

@@ -12,6 +12,7 @@ from fundaflow import vocab
 from fundaflow.config import RiskLimits
 from fundaflow.functions.ids import stable_id
 from fundaflow.functions.numbers import exact_sum, is_finite
+from fundaflow.sources.ledger import event_rows
 
 APPROVED = "approved by deterministic hard risk gate"
 
@@ -20,7 +21,9 @@ def risk_limits(broker_state: DataFrame, now: datetime, **overrides: float) -> R
     """Limits from the single broker-state row; positive overrides replace what it says."""
     rows = broker_state.select(
         "reconciled", F.unix_seconds("checked_at").alias("checked"), "portfolio_value_usd", "cash_usd"
-    ).limit(1).collect()
+    ).take(2)
+    if len(rows) > 1:
+        raise ValueError("the broker state has more than one row")
     base = RiskLimits(now=now)
     if rows:
         row = rows[0]
@@ -61,9 +64,7 @@ def risk_gate(intents: DataFrame, securities: DataFrame, limits: RiskLimits) ->
     """
     notional, side = F.col("notional_usd"), F.col("side")
     buys = (side == "buy") & is_finite(notional) & (notional > 0)
-    total = intents.agg(
-        F.coalesce(F.sum(F.when(buys, notional.cast("decimal(38,6)"))).cast("double"), F.lit(0.0))
-    ).scalar()
+    total = intents.agg(F.coalesce(exact_sum(F.when(buys, notional)), F.lit(0.0))).scalar()
     known = securities.select(
         "security_id", F.col("investable").alias("listed"), F.col("adv_usd").alias("adv"), F.lit(True).alias("known")
     )
@@ -125,6 +126,30 @@ def stageable(decisions: DataFrame, intents: DataFrame, staged: DataFrame, mode:
     return rows if limit is None else rows.orderBy("created_at", "decision_id").limit(limit)
 
 
+def stage(rows: DataFrame, staged_at: Column) -> DataFrame:
+    """Rows of the staged-order table for stageable rows, each with an id that follows from its decision."""
+    return rows.select(
+        stable_id("staged", decision_id=F.col("decision_id")).alias("staged_order_id"),
+        "decision_id", "intent_id", "security_id", "side", "notional_usd", staged_at.alias("staged_at"))
+
+
+def gate_counts(decisions: DataFrame) -> DataFrame:
+    """Decided, approved and rejected intents as one row."""
+    return decisions.agg(
+        F.count("*").alias("intent_count"), F.count_if("approved").alias("approved_count"), F.count_if(~F.col("approved")).alias("rejected_count"))
+
+
+def gate_events(decisions: DataFrame, occurred_at: Column) -> DataFrame:
+    """The ledger row of a gate run."""
+    return event_rows(gate_counts(decisions), "gate_completed", ["intent_count", "approved_count", "rejected_count"], occurred_at)
+
+
+def stage_events(staged: DataFrame, occurred_at: Column) -> DataFrame:
+    """One ledger row per staged order."""
+    fields = ["staged_order_id", "decision_id", "intent_id", "security_id", "side", "notional_usd"]
+    return event_rows(staged, "order_staged", fields, occurred_at)
+
+
 def submittable(staged: DataFrame, broker_events: DataFrame, mode: str, limits: RiskLimits,
                 limit: int | None = None) -> DataFrame:
     """Staged orders without a submission event; needs a paper or live mode and fresh books."""

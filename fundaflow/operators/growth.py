@@ -33,19 +33,19 @@ def latest_two(facts: DataFrame, metrics: tuple[int, ...] = (REVENUE, EARNINGS),
     version = [
         "value", "quality_flags", "metric_kind", "period_semantics", "basis_id", "dimensions_hash", "duration_days",
     ]
-    # facts sharing end and availability count once: combine on the map side, then partition
-    # by security; the remaining steps need no further exchange
+    # facts sharing end and availability count once, then one row per end: both combine on the map side and
+    # are spread over more than the security, so an issuer with very many restatements is small before it is
+    # gathered; the windows by security need no further exchange
     distinct_versions = (
         rows.groupBy("security_id", "metric_id", "period_end", "available_at")
         .agg(F.min(F.struct("basis_id", "observation_id", F.struct(*version).alias("fact"))).alias("chosen"))
-        .repartition("security_id")
         .select("security_id", "metric_id", "period_end", moment.alias("moment"), "chosen.fact")
     )
     ends = distinct_versions.groupBy("security_id", "metric_id", "period_end").agg(
         F.min_by("fact", "moment").alias("first"),
         F.max_by("fact", "moment").alias("last"),
         F.bit_or("fact.quality_flags").alias("flags"),
-    )
+    ).repartition("security_id")
     newest_first = W.partitionBy("security_id", "metric_id").orderBy(F.col("period_end").desc())
     previous = F.struct("last", "period_end")
     pairs = (

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fundaflow import vocab
 from fundaflow.functions.dates import as_utc
-from fundaflow.functions.ids import short_id
+from fundaflow.functions.ids import LANES, hash_lanes, set_digest, short_id
 from fundaflow.session import cut_lineage
 from fundaflow.sources.tables import new_rows
 
@@ -36,19 +36,17 @@ def product_ids(new: DataFrame, parents: DataFrame) -> DataFrame:
     """Adds `product_id`: a hash of content, maker and the set of parents.
 
     `new` has a `product_key`; `parents` lists (product_key, parent_product_id, role).  The
-    parent set enters as count, sum and xor of parent hashes, which is independent of order
-    and combines on the map side however many parents a product has.
+    parent set enters as an order-free digest of the whole parent hashes, which combines on the
+    map side however many parents a product has; without parents it is the text `none`.
     """
-    bits = F.conv(F.left(F.sha2("parent_product_id", 256), F.lit(15)), 16, 10).cast("long")
     sets = parents.select("product_key", "parent_product_id").groupBy("product_key").agg(
-        F.count("*").alias("n"), F.sum(bits.cast("decimal(38,0)")).alias("s"), F.bit_xor(bits).alias("x"))
+        set_digest(F.sha2("parent_product_id", 256)).alias("parent_set"))
     joined = new.join(sets, "product_key", "left")
-    number = {c: F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n", "s", "x")}
     return joined.withColumn("product_id", short_id(
         "prod_", 48, product_type=F.col("product_type"), cell_id=F.col("cell_id"), content_sha256=F.col("content_sha256"),
         created_by_algorithm=F.col("created_by_algorithm"), config_sha256=F.col("config_sha256"),
-        available_at=(F.col("available_at"), "time"), parents=F.concat_ws(":", *number.values()),
-    )).drop("n", "s", "x")
+        available_at=(F.col("available_at"), "time"), parents=F.coalesce("parent_set", F.lit("none")),
+    )).drop("parent_set")
 
 
 def register_products(new: DataFrame, parents: DataFrame, products: DataFrame, lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,10 +61,11 @@ def register_products(new: DataFrame, parents: DataFrame, products: DataFrame, l
 def ancestors(lineage: DataFrame, products: DataFrame, roots: DataFrame) -> DataFrame:
     """All products reachable from each root through its parents, the root included.
 
-    Frontier joins until nothing new appears; visited pairs are dropped, so cycles end.  Each
-    round is checkpointed.  Products missing from the table are marked.
+    Frontier joins until nothing new appears; visited pairs are dropped, so cycles end.  The
+    edges are made distinct and checkpointed once; each round checkpoints its frontier only, and
+    what was visited is the union of the frontiers.  Products missing from the table are marked.
     """
-    parents = lineage.select(F.col("child_product_id").alias("product_id"), F.col("parent_product_id").alias("next_id")).distinct()
+    parents = cut_lineage(lineage.select(F.col("child_product_id").alias("product_id"), F.col("parent_product_id").alias("next_id")).distinct())
     visited = cut_lineage(roots.select(F.col("product_id").alias("root_product_id"), "product_id").distinct())
     frontier = visited
     while True:
@@ -74,7 +73,7 @@ def ancestors(lineage: DataFrame, products: DataFrame, roots: DataFrame) -> Data
         frontier = cut_lineage(reached.join(visited, ["root_product_id", "product_id"], "left_anti"))
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     known = products.select("product_id", F.lit(True).alias("known")).distinct()
     return visited.join(known, "product_id", "left").select("root_product_id", "product_id", F.col("known").isNull().alias("is_missing"))
 
@@ -231,18 +230,21 @@ def audit_cycles(edges: DataFrame) -> DataFrame:
     """Nodes left after repeatedly removing nodes without incoming edges.
 
     Each round keeps the edges whose source still has an incoming edge.  What remains when a
-    round removes nothing lies on a directed cycle or behind one.
+    round removes nothing lies on a directed cycle or behind one.  Between rounds, a source
+    with a single parent is replaced by that parent, since it stays exactly if its parent does:
+    unbranched chains halve each time, so their length does not decide the number of rounds.
     """
     left = cut_lineage(edges.select("from_node_id", "to_node_id").distinct())
-    count = left.count()
-    while count:
+    while True:
+        before = left.count()
         fed = left.select(F.col("to_node_id").alias("from_node_id")).distinct()
-        left = cut_lineage(left.join(fed, "from_node_id", "left_semi"))
-        remaining = left.count()
-        if remaining == count:
+        kept = cut_lineage(left.join(fed, "from_node_id", "left_semi"))
+        if kept.count() in (0, before):
             break
-        count = remaining
-    nodes = left.select(F.col("to_node_id").alias("node_id")).distinct()
+        parents = kept.groupBy(F.col("to_node_id").alias("from_node_id")).agg(F.count("*").alias("n"), F.min("from_node_id").alias("parent"))
+        single = parents.filter("n = 1").select("from_node_id", "parent")
+        left = cut_lineage(kept.join(single, "from_node_id", "left").select(F.coalesce("parent", "from_node_id").alias("from_node_id"), "to_node_id").distinct())
+    nodes = kept.select(F.col("to_node_id").alias("node_id")).distinct()
     return _found(nodes, "GRAPH_MUST_BE_ACYCLIC", F.col("node_id"), F.lit("workflow graph contains a directed cycle"))
 
 
@@ -253,11 +255,12 @@ def replay_compare(nodes: DataFrame, node_outputs: DataFrame, products: DataFram
     `node_outputs` (node_id, product_id, input_product_ids as array of the node).  Parents of a
     product are compared as sets through order-free digests, never collected.
     """
-    bits = F.conv(F.left(F.sha2("parent_product_id", 256), F.lit(15)), 16, 10).cast("long")
     stored = lineage.select("child_product_id", "parent_product_id").distinct().groupBy("child_product_id").agg(
-        F.count("*").alias("parent_count"), F.bit_xor(bits).alias("parent_digest"))
-    expected_bits = F.transform(F.array_distinct("input_product_ids"), lambda p: F.conv(F.left(F.sha2(p, 256), F.lit(15)), 16, 10).cast("long"))
-    expected = F.aggregate(expected_bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+        F.count("*").alias("parent_count"), *[F.bit_xor(lane).alias(f"parent_{k}") for k, lane in enumerate(hash_lanes(F.sha2("parent_product_id", 256)))])
+    none = F.array_repeat(F.lit(0).cast("long"), LANES)
+    hashes = F.transform(F.array_distinct("input_product_ids"), lambda p: F.array(*hash_lanes(F.sha2(p, 256))))
+    expected = F.aggregate(hashes, none, lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)))
+    found = F.coalesce(F.array(*[F.col(f"parent_{k}") for k in range(LANES)]), none)
     made = products.select(
         "product_id", "product_type", "created_by_algorithm", F.col("config_sha256").alias("product_config"), "content_sha256", "payload_json")
     rows = (
@@ -268,7 +271,7 @@ def replay_compare(nodes: DataFrame, node_outputs: DataFrame, products: DataFram
         .join(stored.withColumnRenamed("child_product_id", "product_id"), "product_id", "left")
     )
     parents_equal = (F.coalesce("parent_count", F.lit(0)) == F.col("want_count")) & (
-        F.coalesce("parent_digest", F.lit(0).cast("long")) == F.col("want_digest"))
+        F.when(F.col("parent_count").isNull(), none).otherwise(found) == F.col("want_digest"))
     is_command = F.col("product_type") == vocab.COMMAND_OUTPUT
     status = (
         F.when(F.col("deterministic").isNull(), F.lit("algorithm_not_found"))

@@ -19,7 +19,7 @@ FORECAST_REASON = "score-weighted long-only target"
 
 
 def first_position(positions: DataFrame) -> DataFrame:
-    """One weight per security."""
+    """One weight per security.  Positions are unique per security; of repeated ones the smallest weight counts, not the first."""
     return positions.groupBy("security_id").agg(F.min("weight_ratio").alias("weight_ratio"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fundaflow import vocab
 from fundaflow.functions.flags import bit_if, combine, has_any
 from fundaflow.functions.ids import content_hash, stable_id
-from fundaflow.operators.ttm import FLOW_METRICS, MAX_ANCHORS, POINT_METRICS, _newest_anchors, statement_timeline
+from fundaflow.operators.ttm import FLOW_METRICS, POINT_METRICS, _newest_anchors, statement_timeline
 
 PARTS = [vocab.METRICS[m][0] for m in FLOW_METRICS + POINT_METRICS]
 AMOUNTS = [
@@ -52,8 +52,8 @@ def statement_quality(parts: dict[str, Column], fcf: Column) -> Column:
 
 
 def build_statements(facts: DataFrame, securities: DataFrame, now: datetime | None = None,
-                     max_age_s: int = 0, max_anchors: int = MAX_ANCHORS) -> DataFrame:
-    """Statements of every investable security on its newest anchors."""
+                     max_age_s: int = 0, max_anchors: int | None = None) -> DataFrame:
+    """Statements of every investable security on its anchors, or on the newest `max_anchors` of them."""
     listed = securities.filter("investable").select("security_id")
     timeline = statement_timeline(facts, now, max_age_s).filter("is_anchor")
     rows = _newest_anchors(timeline.join(listed, "security_id", "left_semi"), max_anchors)

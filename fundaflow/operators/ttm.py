@@ -30,7 +30,6 @@ from fundaflow.operators.select import (
 FLOW_METRICS = [vocab.METRIC_ID[n] for n in ("revenue", "net_income", "eps_diluted", "operating_cash_flow", "capex")]
 POINT_METRICS = [vocab.METRIC_ID[n] for n in ("diluted_shares", "cash", "debt")]
 REVENUE = vocab.METRIC_ID["revenue"]
-MAX_ANCHORS = 12
 
 SHAPE = [
     "security_id", "metric_id", "metric_kind", "basis_id", "dimensions_hash",
@@ -290,14 +289,15 @@ def statement_timeline(facts: DataFrame, now: datetime | None = None, max_age_s:
     return pivot.withColumns({names[m]: F.last(names[m], ignorenulls=True).over(upto) for m in POINT_METRICS})
 
 
-def _newest_anchors(timeline: DataFrame, n: int) -> DataFrame:
+def _newest_anchors(timeline: DataFrame, n: int | None) -> DataFrame:
     w = W.partitionBy("security_id").orderBy(F.col("period_end").desc())
-    return timeline.withColumn("anchor_rank", F.row_number().over(w)).filter(F.col("anchor_rank") <= n)
+    ranked = timeline.withColumn("anchor_rank", F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col("anchor_rank") <= n)
 
 
-def anchors(facts: DataFrame, securities: DataFrame, n: int = MAX_ANCHORS,
+def anchors(facts: DataFrame, securities: DataFrame, n: int | None = None,
             now: datetime | None = None, max_age_s: int = 0) -> DataFrame:
-    """Newest period ends with quarterly or annual revenue, per investable security."""
+    """Period ends with quarterly or annual revenue per investable security, the newest first; the newest `n` if given."""
     revenue = facts.filter(is_usable() & (F.col("metric_id") == REVENUE) & flow_class().isin("quarter", "annual"))
     if now is not None:
         revenue = revenue.filter(is_fresh(now, max_age_s))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fundaflow import vocab
-from fundaflow.config import DEFAULT_SCENARIOS, MAX_SCENARIOS, SCENARIO_RANGES, RiskLimits, Scenario
+from fundaflow.config import DEFAULT_SCENARIOS, SCENARIO_RANGES, RiskLimits, Scenario
 from fundaflow.functions.flags import has_any
 from fundaflow.functions.numbers import TINY, clamp, is_finite
 from fundaflow.operators.select import is_fresh
@@ -53,8 +53,6 @@ def check_scenarios(scenarios: Sequence[Scenario]) -> list[str]:
     broken = []
     if not scenarios:
         broken.append("at least one valuation scenario is required")
-    if len(scenarios) > MAX_SCENARIOS:
-        broken.append("too many valuation scenarios")
     for s in scenarios:
         for name, (low, high) in SCENARIO_RANGES.items():
             if not low <= getattr(s, name) <= high:
@@ -89,7 +87,7 @@ def weighted_equity_value(revenue: Column, net_debt: Column, scenarios: Sequence
 def dcf(statements: DataFrame, scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS) -> DataFrame:
     """One row per statement and scenario, then the weighted value alongside.
 
-    Scenarios are at most three literals, so they are unrolled into the projection instead
+    Scenarios are a short list of literals, so they are unrolled into the projection instead
     of being joined.
     """
     each = F.array(*[

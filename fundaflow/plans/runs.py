@@ -73,7 +73,7 @@ def value_run(facts: DataFrame, securities: DataFrame, positions: DataFrame, con
               horizon_days: int = 365) -> dict[str, DataFrame]:
     """Statements, valuations, targets and intents.
 
-    Statements (at most twelve rows per security) and scored valuations (one row) are
+    Statements and scored valuations (one row) are
     checkpointed: everything behind them is read once however many outputs are written.
     """
     age = config.max_fact_age_s
@@ -100,8 +100,7 @@ def value_run(facts: DataFrame, securities: DataFrame, positions: DataFrame, con
 def feature_run(snapshots: DataFrame, securities: DataFrame, name: str, as_of: datetime, created_at: Column,
                 universe: DataFrame | None = None, universe_id: str | None = None) -> dict[str, DataFrame]:
     """Feature rows and their snapshot header."""
-    latest = features.latest_as_of(snapshots, securities, as_of, universe)
-    rows = cut_lineage(features.feature_rows(features.prior_year(latest, snapshots, as_of)))
+    rows = cut_lineage(features.feature_rows(features.latest_with_prior(snapshots, securities, as_of, universe)))
     header = features.feature_snapshot(rows, name, as_of, universe_id, created_at)
     snapshot_id = header.select("feature_snapshot_id").scalar()
     return {

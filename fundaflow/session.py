@@ -18,7 +18,10 @@ RUNTIME_SETTINGS = {
 
 # Set when a session is created: call-site capture on every column expression dominates the
 # time to build large plans.
-START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+START_SETTINGS = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:

@@ -5,7 +5,7 @@ Everything in this file is a fixed value that results depend on.
 
 from __future__ import annotations
 
-# metric id -> (name, kind, default unit, statement, additive over time)
+# metric id -> (name, kind, default unit)
 METRICS = {
     1: ("revenue", "flow", "USD"),
     2: ("net_income", "flow", "USD"),
