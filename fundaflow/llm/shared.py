@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +48,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers where neither their path nor their working folder has it."""
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if str(root) in known or getattr(spark.sparkContext, "_corpus_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="fundaflow-")) / "fundaflow_package.zip"  # on the driver; Spark sends it
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "fundaflow").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._corpus_shipped = True
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow with slices of at most `rows` rows, so that a task holds a bounded number of texts."""
 
@@ -54,6 +72,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if out is not None and out.num_rows:
                     yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
