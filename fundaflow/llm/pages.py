@@ -154,6 +154,12 @@ class Page:
             up = self.parent[k]
             self.last[up] = max(self.last[up], self.last[k])
 
+    def pure(self, k: int) -> bool:
+        """Whether the class, id and role name nothing but what is not the main text."""
+        words = [_PART.findall(w) for w in re.split(r"[.#@]", self.label[k][len(self.tag[k]) :])]
+        words = [w for w in words if w]
+        return bool(words) and all(p.lower() in _PARTS for w in words for p in w)
+
     def chrome(self, k: int) -> bool:
         """Whether the presentation's own name says that this is not the main text."""
         tag, label = self.tag[k], self.label[k]
@@ -161,12 +167,53 @@ class Page:
             return True
         if tag == "header":
             return not self.inside(k)
-        if label == tag:
+        if label == tag or tag in ("html", "body"):
             return False
+        if tag in ("article", "main"):
+            return self.pure(k)
         if "@" in label and label.split("@")[1] in _ROLES:
             return True
         return any(p.lower() in _PARTS for p in _PART.findall(label[len(tag) :]))
 
+    def firm(self, k: int) -> bool:
+        """Whether the element itself is out, whatever it holds; a form may stand around a whole page."""
+        return self.tag[k] in _OPAQUE or self.tag[k] in _CHROME and self.tag[k] not in ("form", "head") or self.hidden[k]
+
+    def weights(self, out: list[bool]) -> list[int]:
+        """Characters below each node, without those of nodes below it that are out."""
+        w = [0] * len(self.tag)
+        for k, t in self.items:
+            if t is not None:
+                w[k] += len(" ".join(t.split()))
+        for k in range(len(w) - 1, 0, -1):
+            if not out[k]:
+                w[self.parent[k]] += w[k]
+        return w
+
+    def roots(self, chrome: list[bool], weight: list[int]) -> list[int]:
+        """Articles, else main elements, else the body.  Names of wrappers that hold most of the page rule nothing out."""
+        n = len(self.tag)
+        body = [k for k in range(1, n) if self.tag[k] == "body"][:1] or [0]
+        for kind in (lambda k: self.tag[k] == "article", lambda k: self.tag[k] == "main" or "@main" in self.label[k]):
+            clean, pure, within, outer = [], [], [], [False] * n
+            firm, named = [False] * n, [False] * n
+            for k in range(1, n):
+                up = self.parent[k]
+                around = self.tag[k] in ("html", "body")
+                firm[k] = firm[up] or not around and self.firm(k)
+                named[k] = named[up] or not around and chrome[k]
+                outer[k] = outer[up]
+                if kind(k) and not outer[k]:
+                    outer[k] = True
+                    if not firm[k]:
+                        (within if named[up] else pure if chrome[k] else clean).append(k)
+            page = weight[body[0]]
+            found = clean + [k for k in pure + within if 2 * weight[k] > page]
+            found = found or pure or (within if 2 * sum(weight[k] for k in within) > page else [])
+            if found:
+                return sorted(found)
+        return body
+
     def inside(self, k: int) -> bool:
         while k > 0:
             k = self.parent[k]
@@ -178,10 +225,27 @@ class Page:
         """Of each node: dropped by name, inside the article, and protected (plain text of the article, or around it)."""
         n = len(self.tag)
         dropped, inside = [False] * n, [False] * n
-        named = [k for k in range(1, n) if self.tag[k] == "article"] or [k for k in range(1, n) if self.tag[k] == "main" or "@main" in self.label[k]]
+        chrome = [False, *(self.chrome(k) for k in range(1, n))]
+        weight = self.weights([False, *(self.firm(k) for k in range(1, n))])
+        named = self.roots(chrome, weight)
+        # names judge inside and beside the roots, never what is around them
+        spared = set(named)
+        for k in named:
+            while k > 0:
+                k = self.parent[k]
+                spared.add(k)
+        below: list[list[int]] = [[] for _ in range(n)]
+        for k in range(1, n):
+            below[self.parent[k]].append(k)
+        kept = self.weights(chrome)
+        for root in named:
+            at = root
+            while heavy := [k for k in below[at] if 2 * weight[k] > weight[root] and not self.firm(k)]:
+                at = heavy[0]
+                if chrome[at] and not (self.pure(at) and kept[root]):
+                    spared.add(at)
         for k in range(1, n):
-            dropped[k] = dropped[self.parent[k]] or self.chrome(k)
-        named = [k for k in named if not dropped[k]] or [k for k in range(1, n) if self.tag[k] == "body"][:1] or [0]
+            dropped[k] = k not in spared and (dropped[self.parent[k]] or chrome[k])
         roots, protected = set(named), [False] * n
         article = any(self.tag[k] in ("article", "main") or "@main" in self.label[k] for k in named)
         for k in range(n):

@@ -110,6 +110,22 @@ def test_copies_of_articles_keep_their_text(spark, monkeypatch):
         assert {r.text for r in pages.main_text(frame_of(spark, rows)).collect()} == {"The same article\nend"}
 
 
+def test_names_of_wrappers_never_drop_the_page():
+    text = "<p>The whole text of the page, long enough.</p>"
+    inner = f"<article>{text}</article>"
+    for page in (
+        f'<body class="has-sidebar">{inner}', f'<body class="single comments-open">{inner}', f'<html class="nav-open"><body>{inner}', f'<body><main class="with-sidebar">{inner}</main>',
+        f'<body><div class="content with-sidebar">{inner}</div>', f'<body><article class="post related">{text}</article>', f"<body><form>{inner}</form>", f"<form><body>{inner}</form>",
+        f'<body><article class="related">{text}</article>', f'<body><article><div class="content with-sidebar">{text}</div></article>', f'<body class="comments-open"><div>{text}</div>',
+        f'<body><div class="content with-sidebar">{text}</div>', f"<body><form>{text}</form>", f'<body style="display:none"><div id="page-with-nav">{text}</div>', f"<html><head><body>{inner}",
+    ):
+        for more in ("", '<div class="sidebar">Side</div><aside><article>Other</article></aside><div class="comments"><article>Me too</article></div><footer>F</footer>'):
+            assert pages.Page(page + more).text() == "The whole text of the page, long enough.", page + more
+    several = "".join(f'<article class="post tag-social"><p>post {i}</p></article>' for i in range(3))
+    assert pages.Page(f'<body class="nav-open"><div class="list">{several}</div>').text() == "post 0\npost 1\npost 2"
+    assert pages.Page(f'<body><div id="post">Short.</div><div id="comments"><p>{"Long comment. " * 9}</p></div>').text() == "Short."
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(7)
     parts = ["<", ">", "</", "<p", "<p>", "</p>", "<article>", "</article>", "<a href='", '"', "'", "<!--", "-->", "<script>", "</script>", "x", " ", "&", "&amp;", "<td>", "</table>", "<br/>", "<li>", "=", "<div class=\"ad"]
