@@ -264,11 +264,29 @@ class Page:
                 out.append((self.path[k], style, content))
         return out
 
+    def removed(self, low: frozenset[int]) -> list[bool]:
+        """Of each node: in a branch whose path is low.  None that holds most of the main text; none at all where less than a quarter would be left."""
+        dropped, inside, protected = self.states()
+        n = len(dropped)
+        out = [False] * n
+        if not low:
+            return out
+        kept = [0] * n
+        for k, t in self.items:
+            if t is not None and inside[k] and not dropped[k]:
+                kept[k] += len(" ".join(t.split()))
+        below = kept.copy()
+        for k in range(n - 1, 0, -1):
+            below[self.parent[k]] += below[k]
+        for k in range(1, n):
+            out[k] = out[self.parent[k]] or not protected[k] and self.path[k] in low and 2 * below[k] <= below[0]
+        gone = sum(x for x, o in zip(kept, out, strict=True) if o)
+        return out if 4 * (below[0] - gone) >= below[0] else [False] * n
+
     def text(self, low: frozenset[int] = frozenset()) -> str:
         """The main text without branches whose path is low."""
-        dropped, inside, protected = self.states()
-        for k in range(1, len(dropped)):
-            dropped[k] = dropped[k] or dropped[self.parent[k]] or (not protected[k] and self.path[k] in low)
+        dropped, inside, _ = self.states()
+        dropped = [d or r for d, r in zip(dropped, self.removed(low), strict=True)]
         blocks, open_block = [], []
         for k, t in [*self.items, (0, None)]:
             if t is not None:
@@ -290,17 +308,21 @@ def low_nodes(pages: DataFrame) -> DataFrame:
     """(host, path) of pages (host, html): the nodes of low importance of each host's style tree."""
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: Counter = Counter()
+        seen, done = Counter(), set()
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[host, 0, 0, 0] += 1
-            seen.update((host, *map(_signed, b)) for b in Page(source or "").branches())
+            page = _signed(xxhash.xxh3_64_intdigest(source or ""))
+            if (host, page) not in done:
+                done.add((host, page))
+                seen[host, page, 0, 0, 0] += 1
+                seen.update((host, page, *map(_signed, b)) for b in Page(source or "").branches())
         rows = [(*k, v) for k, v in seen.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "path", "style", "content", "n"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = [pa.string(), *[pa.int64()] * 5]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "path", "style", "content", "n"])
 
-    nodes = arrow_map(pages.where("host IS NOT NULL").select("host", "html"), read, "host string, path long, style long, content long, n long", rows=500)
-    merged = checkpointed(nodes.groupBy("host", "path", "style", "content").agg(F.sum("n").alias("n")))
+    nodes = arrow_map(pages.where("host IS NOT NULL").select("host", "html"), read, "host string, page long, path long, style long, content long, n long", rows=500)
+    # each distinct page of a host counts once, however often it is repeated
+    merged = checkpointed(nodes.distinct().groupBy("host", "path", "style", "content").agg(F.sum("n").alias("n")))
 
     def entropy(by: str) -> DataFrame:
         one = merged.where("path != 0").groupBy("host", "path", by).agg(F.sum("n").alias("n"))

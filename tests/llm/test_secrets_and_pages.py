@@ -110,6 +110,16 @@ def test_copies_of_articles_keep_their_text(spark, monkeypatch):
         assert {r.text for r in pages.main_text(frame_of(spark, rows)).collect()} == {"The same article\nend"}
 
 
+def test_a_host_of_mostly_copies_keeps_the_text(spark):
+    """40 pages, 36 of them copies or copies but for a line; 4 of their own."""
+    for wrap in ('<article><div class="entry-content">{}</div></article>', '<div class="body">{}</div>'):
+        for line in ("", "<i>read {} times</i>"):
+            rows = [(i, f"http://copies.x/{i}", "<body>" + wrap.format(f"<p>{'The same story. ' * 9 if i < 36 else f'Story of page {i}. ' * 9}</p>") + line.format(i)) for i in range(40)]
+            got = {r.page_id: r.text for r in pages.main_text(frame_of(spark, rows)).collect()}
+            for i in range(40):
+                assert ("The same story. " * 9 if i < 36 else f"Story of page {i}. " * 9).strip() in got[i]
+
+
 def test_names_of_wrappers_never_drop_the_page():
     text = "<p>The whole text of the page, long enough.</p>"
     inner = f"<article>{text}</article>"
