@@ -2,17 +2,17 @@
 
 The pages of a host are merged: nodes with the same path of presentations (element, classes, id, role) are one
 node of the tree, and grouped sums give the entropy of the presentations below it and of the contents below it
-over the host's pages.  A node whose pages agree in both is of low importance, and its branch is removed from
-each page, unless it is plain text of the article itself.  What a presentation's name tells (menus, footers,
-adverts, forms, comments and so on) counts as importance zero, since sites also fill such branches anew on
-every page, which no entropy shows.
+over the host's pages.  A node whose pages agree in both is of low importance, and so is one content of a node
+that most of the node's pages share (a notice in a plain paragraph of the article); such branches are removed.
+Every node with text is judged, around the article and in it.  What a presentation's name tells (menus, footers,
+adverts, forms, comments and so on) is the prior: importance zero, since sites also fill such branches anew on
+every page, which no entropy shows.  An article of low importance is the main text only if there is no other.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -46,7 +46,7 @@ _CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 _SCOPE = frozenset({"table", "td", "th", "article", "section", "div", "body", "html", "li", "blockquote", "main", "aside", "nav", "footer", "header"})
-_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre dl dt dd table tbody thead tr td th b i em strong a span u s sub sup small code q cite mark br section".split())
+_PHRASE = frozenset("td th tr b i em strong a span u s sub sup small code q cite mark".split())
 
 # Presentations of importance zero: elements, roles, and parts of class names and ids.
 _CHROME = frozenset("nav footer aside form button select input dialog menu svg canvas object audio video head fieldset".split())
@@ -76,6 +76,7 @@ class Page:
         self.begin, self.end = [0], [0]  # the items below each
         self.hidden = [False]
         self.items: list[tuple[int, str | None]] = []
+        self._contents: list[int] | None = None
         self._read(source)
 
     def _open(self, tag: str, attributes: str, stack: list[int]) -> int:
@@ -190,7 +191,7 @@ class Page:
                 w[self.parent[k]] += w[k]
         return w
 
-    def roots(self, chrome: list[bool], weight: list[int]) -> list[int]:
+    def roots(self, chrome: list[bool], weight: list[int], low: list[bool]) -> list[int]:
         """Articles, else main elements, else the body.  Names of wrappers that hold most of the page rule nothing out."""
         n = len(self.tag)
         body = [k for k in range(1, n) if self.tag[k] == "body"][:1] or [0]
@@ -209,7 +210,7 @@ class Page:
                         (within if named[up] else pure if chrome[k] else clean).append(k)
             page = weight[body[0]]
             found = clean + [k for k in pure + within if 2 * weight[k] > page]
-            found = found or pure or (within if 2 * sum(weight[k] for k in within) > page else [])
+            found = [k for k in found if not low[k]] or found or pure or (within if 2 * sum(weight[k] for k in within) > page else [])
             if found:
                 return sorted(found)
         return body
@@ -221,13 +222,13 @@ class Page:
                 return True
         return False
 
-    def states(self) -> tuple[list[bool], list[bool], list[bool]]:
-        """Of each node: dropped by name, inside the article, and protected (plain text of the article, or around it)."""
+    def states(self, low: frozenset[int] = frozenset()) -> tuple[list[bool], list[bool], list[bool]]:
+        """Of each node: dropped by name, inside the main text, and protected (outside of it, or its root)."""
         n = len(self.tag)
         dropped, inside = [False] * n, [False] * n
         chrome = [False, *(self.chrome(k) for k in range(1, n))]
         weight = self.weights([False, *(self.firm(k) for k in range(1, n))])
-        named = self.roots(chrome, weight)
+        named = self.roots(chrome, weight, self.low_ones(low))
         # names judge inside and beside the roots, never what is around them
         spared = set(named)
         for k in named:
@@ -247,26 +248,57 @@ class Page:
         for k in range(1, n):
             dropped[k] = k not in spared and (dropped[self.parent[k]] or chrome[k])
         roots, protected = set(named), [False] * n
-        article = any(self.tag[k] in ("article", "main") or "@main" in self.label[k] for k in named)
         for k in range(n):
             inside[k] = k in roots or k > 0 and inside[self.parent[k]]
-            protected[k] = not inside[k] or k in roots or article and self.label[k] == self.tag[k] and self.tag[k] in _PLAIN
+            protected[k] = not inside[k] or k in roots
         return dropped, inside, protected
 
-    def branches(self) -> list[tuple[int, int, int]]:
-        """(path, style, content) of each node that importance may remove: hashes of the presentations and of the text below it."""
-        dropped, inside, protected = self.states()
-        out = []
-        for k in range(1, len(self.tag)):
-            if inside[k] and not dropped[k] and not protected[k]:
-                style = xxhash.xxh3_64_intdigest("\0".join(f"{self.path[x]:x}" for x in range(k, self.last[k] + 1)))
-                content = xxhash.xxh3_64_intdigest(" ".join(" ".join(t for _, t in self.items[self.begin[k] : self.end[k]] if t is not None).split()))
-                out.append((self.path[k], style, content))
+    def contents(self) -> list[int]:
+        """Hash of the path and of the text below each node; 0 where there is none, or the node's parent has the same."""
+        if self._contents is None:
+            parts: list[str] = []
+            before = [0]
+            for _, t in self.items:
+                parts.extend(t.split() if t is not None else ())
+                before.append(len(parts))
+            spans = [(before[b], before[e]) for b, e in zip(self.begin, self.end, strict=True)]
+            self._contents = [
+                xxhash.xxh3_64_intdigest(" ".join(parts[slice(*spans[k])]), self.path[k]) if k and spans[k][0] < spans[k][1] and (not self.parent[k] or spans[k] != spans[self.parent[k]]) else 0
+                for k in range(len(self.tag))
+            ]
+        return self._contents
+
+    def low_ones(self, low: frozenset[int]) -> list[bool]:
+        """Whether the path or the content of each node is low; an only child goes with its parent."""
+        if not low:
+            return [False] * len(self.tag)
+        out = [bool(c) and (p in low or c in low) for p, c in zip(self.path, self.contents(), strict=True)]
+        for k in range(1, len(out)):
+            if not self.contents()[k] and self.begin[k] < self.end[k]:
+                out[k] = out[self.parent[k]]
         return out
 
-    def removed(self, low: frozenset[int]) -> list[bool]:
-        """Of each node: in a branch whose path is low.  None that holds most of the main text; none at all where less than a quarter would be left."""
-        dropped, inside, protected = self.states()
+    def branches(self) -> list[tuple[int, int, int, int, int]]:
+        """(path, style, content, how often, 1 for the first content of a path) of the page's nodes: hashes of the presentations and of the text below."""
+        out: dict[tuple[int, int], list[int]] = {}
+        seen: set[int] = set()
+        for k, content in enumerate(self.contents()):
+            if content:
+                path = self.path[k]
+                if (path, content) in out:
+                    out[path, content][1] += 1
+                    continue
+                style = xxhash.xxh3_64_intdigest("\0".join(f"{self.path[x]:x}" for x in range(k, self.last[k] + 1))) if self.last[k] > k else 0
+                out[path, content] = [style, 1, int(path not in seen)]
+                seen.add(path)
+        return [(path, style, content, n, first) for (path, content), (style, n, first) in out.items()]
+
+    def removed(self, low: frozenset[int], states: tuple[list[bool], list[bool], list[bool]]) -> list[bool]:
+        """Of each node: in a branch whose path or content is low.  None that holds most of the main text; none at all where less than a quarter would be left.
+
+        A bare phrase or table cell goes with its block only, so that no sentence or row loses a part.
+        """
+        dropped, inside, protected = states
         n = len(dropped)
         out = [False] * n
         if not low:
@@ -278,15 +310,16 @@ class Page:
         below = kept.copy()
         for k in range(n - 1, 0, -1):
             below[self.parent[k]] += below[k]
+        ones = self.low_ones(low)
         for k in range(1, n):
-            out[k] = out[self.parent[k]] or not protected[k] and self.path[k] in low and 2 * below[k] <= below[0]
+            out[k] = out[self.parent[k]] or not protected[k] and ones[k] and not (self.tag[k] in _PHRASE and self.label[k] == self.tag[k]) and 2 * below[k] <= below[0]
         gone = sum(x for x, o in zip(kept, out, strict=True) if o)
         return out if 4 * (below[0] - gone) >= below[0] else [False] * n
 
     def text(self, low: frozenset[int] = frozenset()) -> str:
-        """The main text without branches whose path is low."""
-        dropped, inside, _ = self.states()
-        dropped = [d or r for d, r in zip(dropped, self.removed(low), strict=True)]
+        """The main text without branches whose path or content is low."""
+        states = self.states(low)
+        dropped, inside = [d or r for d, r in zip(states[0], self.removed(low, states), strict=True)], states[1]
         blocks, open_block = [], []
         for k, t in [*self.items, (0, None)]:
             if t is not None:
@@ -304,35 +337,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path) of pages (host, html): the nodes of low importance of each host's style tree."""
+def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of pages (host, html): (host, path, pages, m, h_style, h_content) of each node, and (host, path, content, d): on how many pages.
+
+    Each distinct page of a host counts once, however often it is repeated.
+    """
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen, done = Counter(), set()
+        done, rows = set(), []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = _signed(xxhash.xxh3_64_intdigest(source or ""))
             if (host, page) not in done:
                 done.add((host, page))
-                seen[host, page, 0, 0, 0] += 1
-                seen.update((host, page, *map(_signed, b)) for b in Page(source or "").branches())
-        rows = [(*k, v) for k, v in seen.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.string(), *[pa.int64()] * 5]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "path", "style", "content", "n"])
-
-    nodes = arrow_map(pages.where("host IS NOT NULL").select("host", "html"), read, "host string, page long, path long, style long, content long, n long", rows=500)
-    # each distinct page of a host counts once, however often it is repeated
-    merged = checkpointed(nodes.distinct().groupBy("host", "path", "style", "content").agg(F.sum("n").alias("n")))
-
-    def entropy(by: str) -> DataFrame:
-        one = merged.where("path != 0").groupBy("host", "path", by).agg(F.sum("n").alias("n"))
-        both = one.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"))
-        return both.select("host", "path", "m", ((F.ln("m") - F.col("s") / F.col("m")) / F.ln(F.greatest("m", F.lit(2)))).alias(f"h_{by}"))
-
-    size = merged.where("path = 0").select("host", F.col("n").alias("pages"))
-    judged = entropy("style").join(entropy("content").drop("m"), ["host", "path"]).join(size, "host")
-    often = (F.col("m") >= LEAST_PAGES) & (F.col("m") >= F.lit(LEAST_SHARE) * F.col("pages"))
-    return judged.where(often & (F.greatest("h_style", "h_content") < LOW)).select("host", "path")
+                rows.extend((host, page, _signed(path), _signed(style), _signed(content), n, first) for path, style, content, n, first in Page(source or "").branches())
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds = [pa.string(), *[pa.int64()] * 6]
+        names = ["host", "page", "path", "style", "content", "n", "first"]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    fields = "host string, page long, path long, style long, content long, n long, first long"
+    nodes = checkpointed(arrow_map(pages.where("host IS NOT NULL").select("host", "html"), read, fields, rows=500).distinct())
+    contents = nodes.groupBy("host", "path", "content").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+    styles = nodes.groupBy("host", "path", "style").agg(F.sum("n").alias("n"), F.sum("first").alias("pages"))
+
+    def entropy(one: DataFrame, by: str, *more: Column) -> DataFrame:
+        both = one.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"), *more)
+        return both.withColumn(f"h_{by}", (F.ln("m") - F.col("s") / F.col("m")) / F.ln(F.greatest("m", F.lit(2)))).drop("s")
+
+    judged = entropy(styles, "style", F.sum("pages").alias("pages")).join(entropy(contents, "content").drop("m"), ["host", "path"])
+    return judged, contents
+
+
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """(host, path) of pages (host, html): paths, and contents of paths, of low importance in each host's style tree."""
+    judged, contents = style_tree(pages)
+    often = (F.col("pages") >= LEAST_PAGES) & (F.col("m") >= F.lit(LEAST_SHARE) * F.col("pages"))
+    paths = judged.where(often & (F.greatest("h_style", "h_content") < LOW)).select("host", "path")
+    # a content spread evenly over d of a node's pages has the normalised entropy ln d / ln pages, and one less that as importance
+    shared = contents.where(F.col("d") >= LEAST_PAGES).join(judged.select("host", "path", "pages"), ["host", "path"])
+    return paths.unionByName(shared.where(1 - F.ln("d") / F.ln("pages") < LOW).select("host", F.col("content").alias("path")))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

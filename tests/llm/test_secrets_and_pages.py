@@ -120,6 +120,16 @@ def test_a_host_of_mostly_copies_keeps_the_text(spark):
                 assert ("The same story. " * 9 if i < 36 else f"Story of page {i}. " * 9).strip() in got[i]
 
 
+def test_plain_nodes_of_an_article_are_judged(spark):
+    """A sentence that the host's articles share goes from a bare paragraph; so does a promotion that is an article of its own."""
+    rows = [(i, f"http://n.x/{i}", f"<body><article><h1>Head {i}</h1><p>{f'Text {i}. ' * 9}</p><p>Follow us everywhere</p></article><div><article><p>Buy our book</p></article></div>") for i in range(30)]
+    got = {r.page_id: r.text for r in pages.main_text(frame_of(spark, rows)).collect()}
+    assert all(got[i] == f"Head {i}\n{(f'Text {i}. ' * 9).strip()}" for i in range(30))
+    page = pages.Page(SHELL.format(n=1, main="<article><p>One</p><p>Two</p></article>"))
+    judged = {b[0] for b in page.branches()}
+    assert all(p in judged for p, tag in zip(page.path, page.tag, strict=True) if tag in ("nav", "footer", "aside", "article", "p"))
+
+
 def test_names_of_wrappers_never_drop_the_page():
     text = "<p>The whole text of the page, long enough.</p>"
     inner = f"<article>{text}</article>"
