@@ -1,6 +1,6 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged: nodes with the same path of presentations (element, classes, id, role) are one
+The pages of a host (of all hosts with few pages together) are merged: nodes with the same path of presentations (element, classes, id, role) are one
 node of the tree, and grouped sums give the entropy of the presentations below it and of the contents below it
 over the host's pages.  A node whose pages agree in both is of low importance, and so is one content of a node
 that most of the node's pages share (a notice in a plain paragraph of the article); such branches are removed.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from fundaflow.llm.shared import arrow_map, checkpointed, pick
 
-#: A node is judged if it occurs at least so often, and on at least this share of the host's pages.
-LEAST_PAGES, LEAST_SHARE = 8, 0.05
+#: A node is judged if it is on at least so many distinct pages; hosts with fewer pages share one tree.
+LEAST_PAGES = 8
 #: Normalised entropies below this are low.
 LOW = 0.2
 #: Most low nodes that are sent to all tasks; beyond it they are joined by host.
@@ -337,10 +337,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of pages (host, html): (host, path, pages, m, h_style, h_content) of each node, and (host, path, content, d): on how many pages.
+def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of pages (host, html): (host, path, pages, m, h_style, h_content) of each node, and (host, path, content, d): on how many pages, and (host): those with a tree of their own.
 
-    Each distinct page of a host counts once, however often it is repeated.
+    Each distinct page of a tree counts once, however often it is repeated.  Pages of hosts with fewer than
+    LEAST_PAGES distinct pages, and pages without a host, are in the tree of the host "" together.
     """
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -356,7 +357,11 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     fields = "host string, page long, path long, style long, content long, n long, first long"
-    nodes = checkpointed(arrow_map(pages.where("host IS NOT NULL").select("host", "html"), read, fields, rows=500).distinct())
+    own = checkpointed(arrow_map(pages.select("host", "html"), read, fields, rows=500).distinct())
+    pages_of = own.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").count()
+    large = checkpointed(pages_of.where((F.col("count") >= LEAST_PAGES) & F.col("host").isNotNull()).select("host"))
+    small = own.join(large, "host", "left_anti").withColumn("host", F.lit("")).distinct()
+    nodes = own.join(large, "host", "left_semi").unionByName(small)
     contents = nodes.groupBy("host", "path", "content").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
     styles = nodes.groupBy("host", "path", "style").agg(F.sum("n").alias("n"), F.sum("first").alias("pages"))
 
@@ -365,17 +370,20 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         return both.withColumn(f"h_{by}", (F.ln("m") - F.col("s") / F.col("m")) / F.ln(F.greatest("m", F.lit(2)))).drop("s")
 
     judged = entropy(styles, "style", F.sum("pages").alias("pages")).join(entropy(contents, "content").drop("m"), ["host", "path"])
-    return judged, contents
+    return judged, contents, large
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path) of pages (host, html): paths, and contents of paths, of low importance in each host's style tree."""
-    judged, contents = style_tree(pages)
-    often = (F.col("pages") >= LEAST_PAGES) & (F.col("m") >= F.lit(LEAST_SHARE) * F.col("pages"))
-    paths = judged.where(often & (F.greatest("h_style", "h_content") < LOW)).select("host", "path")
+    """(host, low) of pages (host, html): paths, and contents of paths, of low importance in each style tree.
+
+    One row of each host with a tree of its own, and of "" for the others where anything is low in their tree.
+    """
+    judged, contents, large = style_tree(pages)
+    paths = judged.where((F.col("pages") >= LEAST_PAGES) & (F.greatest("h_style", "h_content") < LOW)).select("host", "path")
     # a content spread evenly over d of a node's pages has the normalised entropy ln d / ln pages, and one less that as importance
     shared = contents.where(F.col("d") >= LEAST_PAGES).join(judged.select("host", "path", "pages"), ["host", "path"])
-    return paths.unionByName(shared.where(1 - F.ln("d") / F.ln("pages") < LOW).select("host", F.col("content").alias("path")))
+    low = paths.unionByName(shared.where(1 - F.ln("d") / F.ln("pages") < LOW).select("host", F.col("content").alias("path")))
+    return low.unionByName(large.withColumn("path", F.lit(None).cast("long"))).groupBy("host").agg(F.collect_set("path").alias("low"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -383,19 +391,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Text is decoded, white space inside a block is one space, blocks are joined by line breaks in page order.
     With an article (or a main element) the main text is inside it, else in the body.  Null and empty pages
-    give an empty text; pages without a host in their URL have no style tree and are judged by names alone;
+    give an empty text; pages without a host in their URL, and of hosts with fewer than LEAST_PAGES distinct pages,
+    are judged by names and one style tree in common;
     null ids and repeated rows pass through; other columns are ignored; an empty table gives an empty table.
     """
     source = pick(pages, id=id_col, url=url_col, html=html_col).withColumn("host", host_of("url"))
-    low = checkpointed(low_nodes(source).groupBy("host").agg(F.collect_set("path").alias("low")))
-    # a host has at most nodes-per-page / LEAST_SHARE low nodes
-    sent = {r["host"]: r["low"] for r in low.collect()} if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= MOST_SENT else None
+    low = checkpointed(low_nodes(source))
+    shared = [x for r in low.where("host = ''").collect() for x in r["low"]]
+    # hosts of their own tree without low nodes need to be told from the others only where the common tree has low nodes
+    low = low.where("host != ''") if shared else low.where(F.size("low") > 0)
+    sent = {r["host"]: r["low"] for r in low.collect()} if (low.agg(F.sum(F.size("low") + 1)).first()[0] or 0) <= MOST_SENT else None
     kind = source.schema["id"].dataType.simpleString()
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         sources, hosts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         lows = [sent.get(h) for h in hosts] if sent is not None else batch.column(4).to_pylist()
-        texts = [Page(s or "").text(frozenset(x & 0xFFFFFFFFFFFFFFFF for x in low_of or ())) for s, low_of in zip(sources, lows, strict=True)]
+        lows = [shared if x is None else x for x in lows]
+        texts = [Page(s or "").text(frozenset(x & 0xFFFFFFFFFFFFFFFF for x in low_of)) for s, low_of in zip(sources, lows, strict=True)]
         data = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
         return pa.record_batch(data, names=[id_col, url_col, "text", "n_chars"])
 

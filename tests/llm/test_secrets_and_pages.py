@@ -130,6 +130,19 @@ def test_plain_nodes_of_an_article_are_judged(spark):
     assert all(p in judged for p, tag in zip(page.path, page.tag, strict=True) if tag in ("nav", "footer", "aside", "article", "p"))
 
 
+def test_rare_boxes_and_small_hosts_are_judged(spark, monkeypatch):
+    """A box of one section of a large host goes, and a box that many hosts of few pages share; a large host's own text that those share stays."""
+    box, body = "<div class='box'><span>Follow us</span></div>", "<body><div class='body'><p>text {} of page, {}</p></div>"
+    rows = [(i, f"http://large.x/{i}", body.format(i, "long " * 9) + (box if i < 12 else "")) for i in range(400)]
+    rows += [(1000 + i, f"http://few{i // 2}.x/{i}", body.format(i, "long " * 9) + "<i class='by'>Powered by x</i>") for i in range(20)]
+    rows += [(2000 + i, f"http://other.x/{i}", body.format(i, "long " * 9) + ("<i class='by'>Powered by x</i>" if i == 0 else "")) for i in range(20)]
+    for sent in (pages.MOST_SENT, -1):
+        monkeypatch.setattr(pages, "MOST_SENT", sent)
+        got = {r.page_id: r.text for r in pages.main_text(frame_of(spark, rows)).collect()}
+        assert not any("Follow us" in got[i] for i in range(400)) and not any("Powered" in got[1000 + i] for i in range(20))
+        assert "Powered" in got[2000] and all(t.startswith("text ") for t in got.values()) and len(got) == len(rows)
+
+
 def test_names_of_wrappers_never_drop_the_page():
     text = "<p>The whole text of the page, long enough.</p>"
     inner = f"<article>{text}</article>"
