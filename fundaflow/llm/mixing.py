@@ -8,6 +8,8 @@ table of posteriors; only its few domain totals reach the driver.
 
 from __future__ import annotations
 
+import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,15 +127,27 @@ class Fit:
         w = F.lit(1.0) if start is None else start
         for g in self.gradients[since:]:
             eta = 1.0 / (1.0 + PULL)
-            w = F.least(F.greatest(w * F.lit(1.0 - eta * PULL) + F.lit(eta * PULL) - F.lit(eta) * _dot(g), F.lit(self.least)), F.lit(self.most))
+            w = F.greatest(w * F.lit(1.0 - eta * PULL) + F.lit(eta * PULL) - F.lit(eta) * _dot(g), F.lit(self.least))
+            w = w if math.isinf(self.most) else F.least(w, F.lit(self.most))
         return w
 
+    @property
+    def off(self) -> float:
+        """How far the domain furthest from its target is off, as a share of the total aimed at."""
+        total = sum(self.wanted)
+        return max(abs(a - b) for a, b in zip(self.totals, self.wanted, strict=True)) / total if total > 0 else 0.0
 
-def fitted(members: DataFrame, targets: tuple[float, ...], least: float = 0.0, most: float = 8.0, whole: bool = False) -> Fit:
+    @property
+    def met(self) -> bool:
+        return self.off <= CLOSE
+
+
+def fitted(members: DataFrame, targets: tuple[float, ...], least: float = 0.0, most: float = math.inf, whole: bool = False) -> Fit:
     """Rates for rows of (mix_tokens, mix_p): their expected domain tokens against `targets` (shares, which are scaled to 1).
 
     The total aimed at is the one that there is; with `whole` it is the smallest one that no domain exceeds
-    already, so that no document has to be thinned out.  Each domain's mismatch is measured against its own
+    already, so that no document has to be thinned out.  Rates have no upper bound unless `most` is given; a fit that
+    misses CLOSE warns, and its `off` says by how much.  Each domain's mismatch is measured against its own
     tokens, which makes the problem well-conditioned and the step size 1.
     """
     share = np.array(targets, float) / sum(targets)
@@ -162,7 +176,10 @@ def fitted(members: DataFrame, targets: tuple[float, ...], least: float = 0.0, m
         if len(gradients) - since >= EVERY:
             table, since = checkpointed(table.select("mix_tokens", "mix_p", fit.rate(F.col("rate"), since).alias("rate"))), len(gradients)
         now = sums(table, fit.rate(F.col("rate"), since))
-    return Fit(gradients, now.tolist(), wanted.tolist(), least, most)
+    out = Fit(gradients, now.tolist(), wanted.tolist(), least, most)
+    if not out.met:
+        warnings.warn(f"mixing: a domain is {out.off:.2%} of the total off its target after {len(gradients)} rounds; wanted {out.wanted}, got {out.totals}", stacklevel=2)
+    return out
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -172,7 +189,7 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain",
-          least: float = 0.0, most: float = 8.0, whole: bool = False) -> tuple[DataFrame, Fit]:
+          least: float = 0.0, most: float = math.inf, whole: bool = False) -> tuple[DataFrame, Fit]:
     """(one row per row of docs: id_col, tokens, posteriors, domain, rate, copies; the fit).
 
     tokens: words of the text; posteriors: in the order of `targets`; domain: the most likely one, the first of
@@ -195,7 +212,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
 
 
 def applied(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain",
-            least: float = 0.0, most: float = 8.0, whole: bool = False) -> DataFrame:
+            least: float = 0.0, most: float = math.inf, whole: bool = False) -> DataFrame:
     """docs, each row as often as its rate says.  Texts are read twice (to fit, then to copy) and never shuffled."""
     names = tuple(targets)
     model = domain_classifier(labelled, names, text_col, domain_col, id_col)

@@ -58,6 +58,25 @@ def test_whole_keeps_every_document(spark):
     assert len(count) == 300 and min(count.values()) == 1 and max(count.values()) > 2
 
 
+def test_a_scarce_domain_meets_its_target(spark):
+    """One percent of the tokens to fifteen: rates above eight; a bound that forbids them is reported."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(ALPHABETS[d] * 8 + "".join(ALPHABETS.values())) for _ in range(300)), d, "c", 1, 1) for i, d in enumerate(("c" if i % 100 == 7 else "ab"[i % 5 == 0]) for i in range(1000))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    targets = {"a": 0.55, "b": 0.30, "c": 0.15}
+    out, fit = mixing.mixed(frame, frame, targets)
+    got = out.collect()
+    p, rate, words = np.array([r.posteriors for r in got]), np.array([r.rate for r in got]), np.array([r.tokens for r in got], float)
+    assert (p * words[:, None]).sum(axis=0)[2] / words.sum() < 0.02 and rate.max() > 8
+    expected = (p * (rate * words)[:, None]).sum(axis=0)
+    assert np.allclose(expected / words.sum(), list(targets.values()), atol=0.01)
+    assert abs(fit.off - np.abs(expected / words.sum() - list(targets.values())).max()) < 1e-6
+    with pytest.warns(UserWarning, match="off its target"):
+        _, bound = mixing.mixed(frame, frame, targets, most=8.0)
+    print("off", fit.off, bound.off, rate.max())
+    assert not bound.met and bound.off > 0.03
+
+
 def test_mixing_cases(spark):
     rows = [(1, None, None, "c", 1, 1), (2, "", "a", "c", 1, 1), (None, "abc def", "b", "c", 1, 1), (3, "abc def", "b", "c", 1, 1), (3, "abc def", "b", "c", 1, 1), (4, "opq " * 20_000, "z", "c", 1, 1)]
     frame = spark.createDataFrame(rows, SCHEMA)
