@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundaflow.llm import chat, mixing, neardup, packing, pages, quality, rules, secrets, tokens, vectors
+from fundaflow.llm import chat, mixing, neardup, packing, pages, quality, rules, secrets, spelling, tokens, vectors
 from fundaflow.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_secret_scans")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
+@register("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
