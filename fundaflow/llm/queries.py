@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundaflow.llm import chat, mixing, neardup, packing, pages, quality, rules, secrets, spelling, tokens, vectors
+from fundaflow.llm import chat, licenses, mixing, neardup, packing, pages, phrases, quality, rules, secrets, spelling, tokens, vectors
 from fundaflow.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_spelling_variants")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@register("op12_license_scans")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.detections(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece_text, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece_text FROM documents)
+), starts AS (
+  SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM pieces WHERE len(w) > 0
+), totals AS (SELECT lang, count(*) AS n FROM starts GROUP BY lang
+), counted AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f)::HUGEINT AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM candidates) c
+  JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), around AS (
+  SELECT lang, array_to_string(w[at:at + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(generate_series(1, k - size + 1)) AS at FROM (SELECT *, unnest(generate_series(2, k - 1)) AS size FROM candidates WHERE k > 2)) GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * b.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@register("op13_phrase_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
