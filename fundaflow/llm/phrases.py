@@ -1,14 +1,14 @@
 """Phrase collocations by SETM: relational mining of sorted occurrence relations.
 
-The occurrence relation of level k has a row for every place where a group of k words stands.  It is stored
-sorted by (piece, position) in blocks of bounded size, each with the distinct groups of the block and their
-counts.  One level: group-count over all blocks and keep what is frequent; semi-join each block's relation
-with the frequent groups; merge-join what is left with the words at the adjacent position of the same piece,
-which is a step along the sorted block; write the next level.  Only rows (block, group, count) are shuffled,
-combined within the block, so a phrase on every second line costs one row a block.
-
-Groups carry exact ids: a group of level k is (frequent group of level k - 1, frequent word), so no hash can
-confuse two phrases.
+The occurrence relation of level k says which frequent group of k words stands at each place.  It is stored
+sorted by (piece, position) in blocks of bounded size.  One level: merge-join a block's relation with itself
+at the adjacent position of the same piece, which is a step along the sorted block, and write the groups of
+k + 1 words so found; group-count them over all blocks; semi-join each block's relation with the frequent ones
+before the next level extends it.  Counts are combined within the block, so a phrase on every second line costs
+one entry a block, and entries travel as packed columns of many.
+
+Groups carry exact ids: a group of level k + 1 is (group of its first k words, group of its last k words), so
+no hash can confuse two phrases.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,14 @@ LONGEST, SUPPORT = 4, 30
 COVERED = 80
 #: Phrases of each language in the report.
 TOP = 2000
-#: Positions of a block.
-BLOCK = 1 << 19
+#: Positions of a block, and entries that are counted in one task.
+BLOCK, PART = 1 << 21, 1 << 22
 
 # A-Z change case, the ends of pieces become line feeds, tabs blanks.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x0A if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 0x09 else c for c in range(256))
-_WORDS = "block long, size int, words binary, code int, lang string, word string, n long"
-_GROUPS = "block long, size int, words binary, ids binary, groups binary, code int, `left` long, `right` long, n long"
+_WORDS = "block long, size int, groups binary, code int, lang string, word string, n long"
+_KEYS = "block long, size int, groups binary, part int, `start` int, `left` binary, `right` binary, n binary"
+_COUNTS = "block long, codes binary, ids binary, id long, `left` long, `right` long, f long"
 
 
 def pieces(text: str | None) -> list[bytes]:
@@ -83,7 +85,7 @@ class _Block:
     def rows(self) -> Iterator[pa.RecordBatch]:
         codes = np.concatenate(self.parts)
         count = np.bincount(codes[: self.size], minlength=self.counter[0] + 1)
-        yield _batch(_WORDS, 1, block=[self.number], size=[self.size], words=[codes.tobytes()])
+        yield _batch(_WORDS, 1, block=[self.number], size=[self.size], groups=[_pack(codes)])
         for lang, known in self.langs.items():
             del known[b"\n"]
             code = np.fromiter(known.values(), np.int64, len(known))
@@ -123,57 +125,104 @@ def occurrences(docs: DataFrame, text_col: str, lang_col: str, block: int = BLOC
     return source.mapInArrow(read, _WORDS)
 
 
-def _extended(width: int, block: int, size: int, words: np.ndarray, word_ids: np.ndarray, groups: np.ndarray, group_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Level `width` of a block from level width - 1: its new relation and its distinct groups with their counts.
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers of one type, byte by byte of their places, compressed: high bytes that are all zero cost nothing."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    `words` and `groups` are codes by position; the ids of codes are 0 where they are not frequent.
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _order(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sorts by (left, right)."""
+    wide = int(right.max(initial=0)) + 1
+    if int(left.max(initial=0)) < (1 << 62) // wide:
+        return np.argsort(left * wide + right, kind="stable")
+    return np.lexsort((right, left))
+
+
+def _part(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+    mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _extended(block: int, size: int, groups: np.ndarray, ids: np.ndarray, parts: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """A block's next level: its relation, and its groups with their counts, sorted and dealt to parts.
+
+    `groups` are codes by position, `ids` the ids of codes, 0 where they are not frequent or no group.
     """
-    words = np.where(word_ids[words] > 0, words, 0)  # the semi-joins
-    groups = np.where(group_ids[groups] > 0, groups, 0)
-    places = len(words) - width + 1
-    out = np.zeros(len(words), np.int32)
-    if places > 0:
-        # adjacent position of the same piece: the end of a piece is no word, and the group of the last words is frequent too
-        at = np.flatnonzero((groups[:places] > 0) & (groups[1 : places + 1] > 0) & (words[width - 1 : width - 1 + places] > 0))
-        key = groups[at].astype(np.int64) * len(word_ids) + words[at + width - 1]
-        seen, code = np.unique(key, return_inverse=True)
-        if len(seen):
-            out[at] = code + 1
-            n = np.bincount(code[at < size], minlength=len(seen))
-            left, right = group_ids[seen // len(word_ids)], word_ids[seen % len(word_ids)]
-            yield _batch(_GROUPS, len(seen), block=np.full(len(seen), block), code=np.arange(1, len(seen) + 1), left=left, right=right, n=n)
-    if width < LONGEST:
-        yield _batch(_GROUPS, 1, block=[block], size=[size], words=[words.astype(np.int32).tobytes()], ids=[word_ids.tobytes()], groups=[out.tobytes()])
-
-
-def _ids(codes: pa.Table, most: int) -> np.ndarray:
-    """Ids by code from the rows (code, id) that the semi-join gave a block; 0 for the others."""
-    out = np.zeros(most + 1, np.int64)
-    out[codes.column("code").to_numpy()] = codes.column("id").to_numpy()
-    return out
-
-
-def _next_level(relation: DataFrame, frequent: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Semi-join and extension of all blocks of one level."""
-    back = relation.where("code IS NOT NULL").join(frequent, keys).select(F.col("block").alias("of"), "code", "id")
-    blocks = relation.where("words IS NOT NULL").drop("code", "n", *keys)
-
-    def extend(block: pa.Table, codes: pa.Table) -> Iterator[pa.RecordBatch]:
+    global_ids = ids[groups]
+    at = np.flatnonzero((global_ids[:-1] > 0) & (global_ids[1:] > 0))  # merge-join with the adjacent position of the piece
+    out = np.zeros(len(groups), np.int32)
+    if len(at):
+        seen, first, code = np.unique(groups[at].astype(np.int64) * len(ids) + groups[at + 1], return_index=True, return_inverse=True)
+        left, right = global_ids[at[first]], global_ids[at[first] + 1]
+        n = np.bincount(code[at < size], minlength=len(seen))
+        part = _part(left, right, parts)
+        order = _order(left, right)
+        order = order[np.argsort(part[order], kind="stable")]
+        rank = np.empty(len(seen), np.int32)
+        rank[order] = np.arange(1, len(seen) + 1, dtype=np.int32)
+        out[at] = rank[code]
+        left, right, n, part = left[order], right[order], n[order], part[order]
+        for k in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+            yield _batch(_KEYS, 1, block=[block], part=[int(part[k[0]])], start=[int(k[0]) + 1], left=[_pack(np.diff(left[k], prepend=0))], right=[_pack(right[k])],
+                         n=[_pack(n[k].astype(np.int32))])
+    if not last:
+        yield _batch(_KEYS, 1, block=[block], size=[size], groups=[_pack(out)])
+
+
+def _next_level(relation: DataFrame, back: DataFrame, parts: int, last: bool) -> DataFrame:
+    """Semi-join and extension of all blocks; `back` has the ids of the codes that are frequent, as rows (of, code, id) or packed (of, codes, ids)."""
+
+    def extend(block: pa.Table, frequent: pa.Table) -> pa.Table:
+        out = [_batch(_KEYS, 0)]
         for row in block.to_pylist():
-            words = np.frombuffer(row["words"], np.int32)
-            if width == 2:
-                groups = words
-                word_ids = group_ids = _ids(codes, int(words.max(initial=0)))
+            groups = _unpack(row["groups"], np.int32)
+            ids = np.zeros(int(groups.max(initial=0)) + 1, np.int64)
+            if "code" in frequent.column_names:
+                ids[frequent.column("code").to_numpy()] = frequent.column("id").to_numpy()
             else:
-                groups, word_ids = np.frombuffer(row["groups"], np.int32), np.frombuffer(row["ids"], np.int64)
-                group_ids = _ids(codes, int(groups.max(initial=0)))
-            yield from _extended(width, row["block"], row["size"], words, word_ids, groups, group_ids)
-
-    def whole(block: pa.Table, codes: pa.Table) -> pa.Table:
-        out = list(extend(block, codes))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch(_GROUPS, 0)])
-
-    return blocks.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(whole, _GROUPS)
+                for codes, known in zip(frequent.column("codes").to_pylist(), frequent.column("ids").to_pylist(), strict=True):
+                    ids[_unpack(codes, np.int32)] = _unpack(known, np.int64)
+            out += _extended(row["block"], row["size"], groups, ids, parts, last)
+        return pa.Table.from_batches(out)
+
+    blocks = relation.where("groups IS NOT NULL").select("block", "size", "groups")
+    return blocks.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(extend, _KEYS)
+
+
+def _counted(relation: DataFrame, parts: int, support: int) -> DataFrame:
+    """The frequent groups (id, left, right, f) of a level, and per block the ids of its frequent codes (block, codes, ids)."""
+
+    def count(part: pa.Table) -> pa.Table:
+        number = part.column("part")[0].as_py()
+        block, start = part.column("block").to_pylist(), part.column("start").to_pylist()
+        left = [np.cumsum(_unpack(x.as_py(), np.int64)) for x in part.column("left")]
+        sizes = [len(x) for x in left]
+        left, right = np.concatenate(left), np.concatenate([_unpack(x.as_py(), np.int64) for x in part.column("right")])
+        n = np.concatenate([_unpack(x.as_py(), np.int32) for x in part.column("n")]).astype(np.int64)
+        order = _order(left, right)
+        sorted_left, sorted_right = left[order], right[order]
+        begins = np.flatnonzero(np.append(True, (np.diff(sorted_left) != 0) | (np.diff(sorted_right) != 0)))
+        f = np.add.reduceat(n[order], begins)
+        enough = f >= support
+        ids = np.zeros(len(f), np.int64)
+        ids[enough] = np.arange(int(enough.sum())) * parts + number + 1
+        of = np.zeros(len(left), np.int64)
+        of[order] = np.repeat(ids, np.diff(np.append(begins, len(left))))
+        out = [_batch(_COUNTS, int(enough.sum()), id=ids[enough], left=sorted_left[begins[enough]], right=sorted_right[begins[enough]], f=f[enough])]
+        for b, s, own in zip(block, start, np.split(of, np.cumsum(sizes)[:-1]), strict=True):
+            some = np.flatnonzero(own)
+            if len(some):
+                out.append(_batch(_COUNTS, 1, block=[b], codes=[_pack((some + s).astype(np.int32))], ids=[_pack(own[some])]))
+        return pa.Table.from_batches(out)
+
+    return relation.where("part IS NOT NULL").select("part", "block", "start", "left", "right", "n").groupBy("part").applyInArrow(count, _COUNTS)
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -189,23 +238,24 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         return spark.read.parquet(f"{folder}/{name}")
 
     relation = stored(occurrences(docs, text_col, lang_col, block), "relation1")
-    totals = relation.where("code IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    keys, found = ["lang", "word"], []
-    words = None
-    for width in range(1, LONGEST + 1):
-        counted = relation.where("code IS NOT NULL").groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= support)
-        frequent = stored(counted.withColumn("id", F.monotonically_increasing_id() + 1), f"frequent{width}")
-        if width == 1:
-            named = words = frequent.select("id", "lang", F.col("word").alias("phrase"), "f")
-        else:
-            before = found[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"))
-            ends = words.select(F.col("id").alias("right"), F.col("phrase").alias("end"))
-            named = frequent.join(before, "left").join(ends, "right").select("id", "lang", F.concat_ws(" ", "begin", "end").alias("phrase"), "f")
-            named = stored(named, f"named{width}")
-        found.append(named)
-        if width < LONGEST:
-            relation = stored(_next_level(relation, frequent.drop("f"), keys, width + 1), f"relation{width + 1}")
-            keys = ["left", "right"]
+    rows = relation.where("code IS NOT NULL")
+    totals = stored(rows.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    counted = stored(rows.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= support), "counted1")
+    numbered = counted.withColumn("at", F.monotonically_increasing_id())
+    tasks = (numbered.agg(F.max(F.shiftright("at", 33))).first()[0] or 0) + 1
+    words = stored(numbered.select("lang", "word", "f", (F.col("at").bitwiseAND((1 << 33) - 1) * tasks + F.shiftright("at", 33) + 1).alias("id")), "frequent1")
+    back = rows.join(words, ["lang", "word"]).select(F.col("block").alias("of"), "code", "id")
+    found = [words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("ending"), "f")]
+    parts = max(8, -(-int(totals.agg(F.sum("n")).first()[0] or 0) // PART))
+    for width in range(2, LONGEST + 1):
+        relation = stored(_next_level(relation, back, parts, width == LONGEST), f"relation{width}")
+        level = stored(_counted(relation, parts, support), f"frequent{width}")
+        back = level.where("codes IS NOT NULL").select(F.col("block").alias("of"), "codes", "ids")
+        begin = found[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"))
+        end = found[-1].select(F.col("id").alias("right"), "ending")
+        groups = level.where("id IS NOT NULL").select("id", "left", "right", "f")
+        named = groups.join(begin, "left").join(end, "right").select("id", "lang", F.concat_ws(" ", "begin", "ending").alias("phrase"), "ending", "f")
+        found.append(stored(named, f"named{width}"))
     every = found[0].select("lang", "phrase", F.lit(1).alias("k"), "f")
     for k, named in enumerate(found[1:], start=2):
         every = every.union(named.select("lang", "phrase", F.lit(k), "f"))

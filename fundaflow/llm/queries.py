@@ -172,8 +172,8 @@ WITH pieces AS (
   JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
 ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), around AS (
-  SELECT lang, array_to_string(w[at:at + size - 1], ' ') AS phrase, max(a) AS longer
-  FROM (SELECT *, unnest(generate_series(1, k - size + 1)) AS at FROM (SELECT *, unnest(generate_series(2, k - 1)) AS size FROM candidates WHERE k > 2)) GROUP BY ALL
+  SELECT lang, array_to_string(w[first_at:first_at + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(generate_series(1, k - size + 1)) AS first_at FROM (SELECT *, unnest(generate_series(2, k - 1)) AS size FROM candidates WHERE k > 2)) GROUP BY ALL
 ), kept AS (
   SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * b.a
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
