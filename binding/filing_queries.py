@@ -1,9 +1,10 @@
 """Filing discovery and XBRL corpus queries.
 
-The corpus is written from the bound observations by string functions: one document per
-issuer and quarter end.  Issuers with key mod 5 = 0 file instances, the others inline
-documents; even keys state fiscal metadata; key mod 3 = 0 adds a product context; a few
-documents are cut short on purpose.
+The corpus is written from all bound observations by string functions: one document per
+issuer, quarter end and version, a later version being a later filing; the values of a
+segment stand in a context of their own.  Issuers with key mod 5 = 0 file instances, the
+others inline documents; even keys state fiscal metadata; key mod 3 = 0 adds a product
+context; a few documents are cut short on purpose.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from fundaflow.config import FormLimits
 from fundaflow.operators import discovery, xbrl
 from fundaflow.sources import files
 
-CONCEPT = {1: "Revenues", 2: "NetIncomeLoss", 4: "WeightedAverageNumberOfDilutedSharesOutstanding",
+CONCEPT = {1: "Revenues", 2: "NetIncomeLoss", 3: "EarningsPerShareDiluted", 4: "WeightedAverageNumberOfDilutedSharesOutstanding",
            5: "NetCashProvidedByUsedInOperatingActivities", 6: "PaymentsToAcquirePropertyPlantAndEquipment",
-           7: "CashAndCashEquivalentsAtCarryingValue", 8: "LongTermDebtCurrent"}
+           7: "CashAndCashEquivalentsAtCarryingValue", 8: "LongTermDebtCurrent", 9: "GrossProfit"}
+#: Days from the period's end to the filing of each version; the version that tells of a segment.
+FILED_AFTER = {1: 30, 2: 155, 3: 50, 4: 200, 5: 45}
+SEGMENT_VERSION = 5
 NAMESPACES = ('xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:iso4217="http://www.xbrl.org/2003/iso4217" '
               'xmlns:us-gaap="http://fasb.org/us-gaap/2024" xmlns:dei="http://xbrl.sec.gov/dei/2024" '
               'xmlns:xbrldi="http://xbrl.org/2006/xbrldi" xmlns:ix="http://www.xbrl.org/2013/inlineXBRL"')
@@ -32,21 +36,28 @@ def _text(*parts: Column | str) -> Column:
 
 
 def corpus(spark, d) -> DataFrame:
-    """One document row per issuer and period end, with its bytes."""
+    """One document row per issuer, period end and version, with its bytes."""
     k = F.col("security_id") - 1
     finish = F.coalesce("raw_end_date", "raw_instant_date")
-    rows = t.wide_observations(spark, d).filter(
-        F.col("observation_id").endswith("-1") & F.col("metric_id").isin(list(CONCEPT))
-    ).select("security_id", "cik", "accession_number", "metric_id", "period_semantics", "raw_start_date", finish.alias("finish"), "value")
+    version = F.substring_index("observation_id", "-", -1).cast("int")
+    number = F.lpad((F.quarter("finish") + 10 * (F.col("version") - 1)).cast("string"), 6, "0")
+    rows = t.wide_observations(spark, d).select(
+        "security_id", "cik", F.regexp_replace("accession_number", "[0-9]{6}$", "").alias("start_of_number"), "metric_id",
+        F.when(version == SEGMENT_VERSION, F.concat("period_semantics", F.lit("-segment"))).otherwise(F.col("period_semantics")).alias("ref"), "period_semantics",
+        "raw_start_date", finish.alias("finish"), "value", version.alias("version"),
+    ).withColumn("accession_number", F.concat("start_of_number", number)).drop("start_of_number")
     instance = k % 5 == 0
     concept = F.element_at(F.create_map(*[x for i, c in CONCEPT.items() for x in (F.lit(i), F.lit(c))]), F.col("metric_id"))
-    shares, sem = F.col("metric_id") == 4, F.col("period_semantics")
-    amount = F.col("value").cast("decimal(38,6)").cast("string")
+    metric, sem, ref = F.col("metric_id"), F.col("period_semantics"), F.col("ref")
+    # in thousands where that loses nothing
+    shares = (metric == 4) & (F.col("version") == 1)
+    # six decimals by whole numbers, so that both engines write the same text where a half is to be rounded
+    amount = F.expr("cast(cast(floor(value * 1000000D + 0.5D) as decimal(20,0)) * cast(0.000001 as decimal(6,6)) as decimal(38,6))").cast("string")
     thousands = F.format_number(F.col("value") / 1000.0, 0)
-    unit = F.when(shares, F.lit("u-shares")).otherwise(F.lit("u-usd"))
-    inline_fact = _text('<p><ix:nonFraction name="us-gaap:', concept, '" contextRef="', sem, '" unitRef="', unit, '" decimals="-3" scale="',
+    unit = F.when(metric == 4, F.lit("u-shares")).when(metric == 3, F.lit("u-eps")).otherwise(F.lit("u-usd"))
+    inline_fact = _text('<p><ix:nonFraction name="us-gaap:', concept, '" contextRef="', ref, '" unitRef="', unit, '" decimals="-3" scale="',
                         F.when(shares, "3").otherwise("0"), '">', F.when(shares, thousands).otherwise(amount), "</ix:nonFraction></p>")
-    instance_fact = _text("<us-gaap:", concept, ' contextRef="', sem, '" unitRef="', unit, '">', amount, "</us-gaap:", concept, ">")
+    instance_fact = _text("<us-gaap:", concept, ' contextRef="', ref, '" unitRef="', unit, '">', amount, "</us-gaap:", concept, ">")
 
     def context(ident: Column | str, period: Column, segment: str = "") -> Column:
         return _text('<xbrli:context id="', ident, '"><xbrli:entity><xbrli:identifier scheme="cik">', F.col("cik"), "</xbrli:identifier>", segment,
@@ -56,15 +67,18 @@ def corpus(spark, d) -> DataFrame:
     point = _text("<xbrli:instant>", F.col("finish").cast("string"), "</xbrli:instant>")
     product = context("product", span, '<xbrli:segment><xbrldi:explicitMember dimension="srt:ProductOrServiceAxis">x:Gadgets</xbrldi:explicitMember>'
                       '<xbrldi:explicitMember dimension="dei:LegalEntityAxis">x:Sub</xbrldi:explicitMember></xbrli:segment>')
+    period = F.when(sem == "instant", point).otherwise(span)
+    region = '<xbrli:segment><xbrldi:explicitMember dimension="us-gaap:StatementGeographicalAxis">x:Region</xbrldi:explicitMember></xbrli:segment>'
+    segment = F.col("version") == SEGMENT_VERSION
     docs = rows.withColumn("fact", F.when(instance, instance_fact).otherwise(inline_fact)).withColumn(
-        "context", context(sem, F.when(sem == "instant", point).otherwise(span))
-    ).withColumn("product", F.when((sem != "instant") & (k % 3 == 0) & (F.col("metric_id") == 1), product)).withColumn(
-        "product_fact", F.when(F.col("product").isNotNull(), F.when(instance, F.replace(instance_fact, _text('"', sem, '"'), F.lit('"product"'))).otherwise(
-            F.replace(inline_fact, _text('contextRef="', sem, '"'), F.lit('contextRef="product"')))))
+        "context", F.when(segment, context(ref, period, region)).otherwise(context(ref, period))
+    ).withColumn("product", F.when((sem != "instant") & (k % 3 == 0) & (metric == 1) & ~segment, product)).withColumn(
+        "product_fact", F.when(F.col("product").isNotNull(), F.when(instance, F.replace(instance_fact, _text('"', ref, '"'), F.lit('"product"'))).otherwise(
+            F.replace(inline_fact, _text('contextRef="', ref, '"'), F.lit('contextRef="product"')))))
     # a document holds at most thirty facts, so the collected lists are small
-    docs = docs.groupBy("security_id", "cik", "accession_number", "finish").agg(
+    docs = docs.groupBy("security_id", "cik", "accession_number", "finish", "version").agg(
         F.array_sort(F.collect_set("context")).alias("contexts"), F.array_sort(F.collect_list("fact")).alias("facts"),
-        F.max("product").alias("product"), F.max("product_fact").alias("product_fact"), F.min("period_semantics").alias("any_context"))
+        F.max("product").alias("product"), F.max("product_fact").alias("product_fact"), F.min("ref").alias("any_context"))
 
     def dei(name: str, value: Column) -> Column:
         inline = _text(f'<ix:nonNumeric name="dei:{name}" contextRef="', F.col("any_context"), '">', value, "</ix:nonNumeric>")
@@ -72,7 +86,9 @@ def corpus(spark, d) -> DataFrame:
         return F.when(k % 2 == 0, F.when(instance, element).otherwise(inline)).otherwise(F.lit(""))
 
     units = ('<xbrli:unit id="u-usd"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>'
-             '<xbrli:unit id="u-shares"><xbrli:measure>xbrli:shares</xbrli:measure></xbrli:unit>')
+             '<xbrli:unit id="u-shares"><xbrli:measure>xbrli:shares</xbrli:measure></xbrli:unit>'
+             '<xbrli:unit id="u-eps"><xbrli:divide><xbrli:unitNumerator><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unitNumerator>'
+             '<xbrli:unitDenominator><xbrli:measure>xbrli:shares</xbrli:measure></xbrli:unitDenominator></xbrli:divide></xbrli:unit>')
     body = _text(
         F.array_join("contexts", ""), F.coalesce("product", F.lit("")), units, F.array_join("facts", ""), F.coalesce("product_fact", F.lit("")),
         dei("DocumentFiscalYearFocus", F.year("finish").cast("string")),
@@ -82,10 +98,11 @@ def corpus(spark, d) -> DataFrame:
     broken = (k % 10 == 7) & (F.quarter("finish") == 4)
     page = _text("<", tag, f" {NAMESPACES}>", body, F.when(broken, "").otherwise(_text("</", tag, ">")))
     name = F.when(instance, F.lit("report_ins.xml")).otherwise(F.lit("report.htm"))
+    filed = F.date_add("finish", F.element_at(F.create_map(*[F.lit(x) for pair in FILED_AFTER.items() for x in pair]), F.col("version")))
     return docs.select(
         F.concat_ws("/", "accession_number", name).alias("doc_id"), "cik", "accession_number",
         F.when(instance, "xbrl_instance").otherwise("inline_xbrl").alias("document_kind"), F.lit("10-Q").alias("form"),
-        F.date_add("finish", 30).cast("string").alias("filed_at"), F.date_format(F.date_add("finish", 30), "yyyy-MM-dd'T'16:30:00'Z'").alias("accepted_at"),
+        filed.cast("string").alias("filed_at"), F.date_format(filed, "yyyy-MM-dd'T'16:30:00'Z'").alias("accepted_at"),
         name.alias("name"), page.cast("binary").alias("content"))
 
 
@@ -93,14 +110,17 @@ def parsed(spark, d) -> DataFrame:
     return xbrl.parse_documents(corpus(spark, d))
 
 
-view("v_filed", """
-SELECT o.*, security_id - 1 AS k, coalesce(raw_end_date, raw_instant_date) AS finish, NOT ((security_id - 1) % 10 = 7 AND quarter(coalesce(raw_end_date, raw_instant_date)) = 4) AS readable
-FROM v_observations o WHERE ends_with(observation_id, '-1') AND metric_id IN (1, 2, 4, 5, 6, 7, 8)
+_FILED_SQL = "CASE ver " + " ".join(f"WHEN {v} THEN {n}" for v, n in FILED_AFTER.items()) + " END"
+view("v_filed", f"""
+SELECT * EXCLUDE (stem), stem || lpad(CAST(quarter(finish) + 10 * (ver - 1) AS VARCHAR), 6, '0') AS accession_number,
+  period_semantics || CASE WHEN ver = {SEGMENT_VERSION} THEN '-segment' ELSE '' END AS ref, {_FILED_SQL} AS filed_after, floor(value * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS amount, NOT (k % 10 = 7 AND quarter(finish) = 4) AS readable
+FROM (SELECT * EXCLUDE (accession_number), security_id - 1 AS k, coalesce(raw_end_date, raw_instant_date) AS finish, accession_number[:-7] AS stem,
+  CAST(string_split(observation_id, '-')[-1] AS INTEGER) AS ver FROM v_observations)
 """)
-view("v_filed_contexts", """
-SELECT DISTINCT accession_number, k, cik, finish, period_semantics AS raw_context_id, period_semantics AS sem, raw_start_date, raw_end_date, raw_instant_date, duration_days AS days FROM v_filed WHERE readable
+view("v_filed_contexts", f"""
+SELECT DISTINCT accession_number, k, cik, finish, ref AS raw_context_id, period_semantics AS sem, raw_start_date, raw_end_date, raw_instant_date, duration_days AS days FROM v_filed WHERE readable
 UNION ALL SELECT accession_number, k, cik, finish, 'product', period_semantics, raw_start_date, raw_end_date, raw_instant_date, duration_days FROM v_filed
-  WHERE readable AND k % 3 = 0 AND metric_id = 1 QUALIFY row_number() OVER (PARTITION BY accession_number ORDER BY raw_start_date) = 1
+  WHERE readable AND k % 3 = 0 AND metric_id = 1 AND ver <> {SEGMENT_VERSION} QUALIFY row_number() OVER (PARTITION BY accession_number ORDER BY raw_start_date) = 1
 """)
 view("v_assigned", """
 SELECT *, CASE WHEN raw_instant_date IS NOT NULL THEN 'instant' WHEN k % 2 = 0 AND q > 1 AND days BETWEEN q * 70 AND q * 110 THEN 'fiscal_ytd' WHEN days >= 330 THEN 'fiscal_year'
@@ -119,6 +139,7 @@ def xbrl_contexts(spark, d):
 
 @query("dimension_signatures", "C7", "dimensions_json:s scope_class:s axis_count:i dimensions_hash:s", """
 SELECT '{}' AS dimensions_json, 'consolidated_total' AS scope_class, 0 AS axis_count, sha256('{}') AS dimensions_hash
+UNION ALL SELECT j, 'segment', 1, sha256(j) FROM (SELECT '[{"dimension":"us-gaap:StatementGeographicalAxis","member":"x:Region"}]' AS j)
 UNION ALL SELECT j, 'product', 2, sha256(j) FROM (SELECT '[{"dimension":"dei:LegalEntityAxis","member":"x:Sub"},{"dimension":"srt:ProductOrServiceAxis","member":"x:Gadgets"}]' AS j)
 """)
 def dimension_signatures(spark, d):
@@ -126,7 +147,7 @@ def dimension_signatures(spark, d):
 
 
 @query("xbrl_units", "C8", "accession_number:s raw_unit_id:s unit_signature:s", """
-SELECT DISTINCT accession_number, u AS raw_unit_id, s AS unit_signature FROM v_filed, (VALUES ('u-usd', 'USD'), ('u-shares', 'shares')) x(u, s) WHERE readable
+SELECT DISTINCT accession_number, u AS raw_unit_id, s AS unit_signature FROM v_filed, (VALUES ('u-usd', 'USD'), ('u-shares', 'shares'), ('u-eps', 'USD')) x(u, s) WHERE readable
 """)
 def xbrl_units(spark, d):
     return xbrl.extract_units(parsed(spark, d))
@@ -159,13 +180,15 @@ def reporting_period_dim(spark, d):
 
 
 _CONCEPT_SQL = "CASE metric_id " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in CONCEPT.items()) + " END"
+# the unit of earnings per share is a quotient, of which the first measure counts
+_UNIT_SQL = "CASE metric_id WHEN 4 THEN 'shares' ELSE 'USD' END"
 view("v_filed_facts", f"""
-SELECT accession_number, k, finish, 'us-gaap' AS taxonomy, {_CONCEPT_SQL} AS concept_local_name, period_semantics AS raw_context_id, CASE WHEN metric_id = 4 THEN 'shares' ELSE 'USD' END AS unit_signature,
-  CASE WHEN metric_id = 4 THEN value ELSE CAST(CAST(value AS DECIMAL(38,6)) AS DOUBLE) END AS value_decimal, NULL AS value_text FROM v_filed WHERE readable
-UNION ALL SELECT f.accession_number, f.k, f.finish, 'us-gaap', 'Revenues', 'product', 'USD', max(CAST(CAST(value AS DECIMAL(38,6)) AS DOUBLE)), NULL
-  FROM v_filed f WHERE readable AND f.k % 3 = 0 AND metric_id = 1 GROUP BY ALL
-UNION ALL SELECT accession_number, k, finish, 'dei', n, c, NULL, CASE WHEN k % 5 = 0 AND n = 'DocumentFiscalYearFocus' THEN CAST(v AS DOUBLE) END, CASE WHEN k % 5 = 0 AND n = 'DocumentFiscalYearFocus' THEN NULL ELSE v END
-  FROM (SELECT accession_number, k, finish, min(period_semantics) AS c FROM v_filed WHERE readable AND k % 2 = 0 GROUP BY ALL) x,
+SELECT accession_number, k, finish, filed_after, 'us-gaap' AS taxonomy, {_CONCEPT_SQL} AS concept_local_name, ref AS raw_context_id, {_UNIT_SQL} AS unit_signature,
+  amount AS value_decimal, NULL AS value_text FROM v_filed WHERE readable
+UNION ALL SELECT f.accession_number, f.k, f.finish, filed_after, 'us-gaap', 'Revenues', 'product', 'USD', max(amount), NULL
+  FROM v_filed f WHERE readable AND f.k % 3 = 0 AND metric_id = 1 AND ver <> {SEGMENT_VERSION} GROUP BY ALL
+UNION ALL SELECT accession_number, k, finish, filed_after, 'dei', n, c, NULL, CASE WHEN k % 5 = 0 AND n = 'DocumentFiscalYearFocus' THEN CAST(v AS DOUBLE) END, CASE WHEN k % 5 = 0 AND n = 'DocumentFiscalYearFocus' THEN NULL ELSE v END
+  FROM (SELECT accession_number, k, finish, filed_after, min(ref) AS c FROM v_filed WHERE readable AND k % 2 = 0 GROUP BY ALL) x,
   LATERAL (VALUES ('DocumentFiscalYearFocus', CAST(year(finish) AS VARCHAR)), ('DocumentFiscalPeriodFocus', 'Q' || quarter(finish)), ('DocumentPeriodEndDate', CAST(finish AS VARCHAR))) y(n, v)
 """)
 RAW = "accession_number:s taxonomy:s concept_local_name:s raw_context_id:s unit_signature:s value_decimal:f value_text:s"
@@ -182,7 +205,7 @@ def instance_facts(spark, d):
 
 
 @query("raw_facts", "C14", f"{RAW} security_id:i available_at:t", """
-SELECT *, k + 1 AS security_id, CAST(finish + 30 AS TIMESTAMP) + INTERVAL 16 HOUR + INTERVAL 30 MINUTE AS available_at FROM v_filed_facts
+SELECT *, k + 1 AS security_id, CAST(finish + filed_after AS TIMESTAMP) + INTERVAL 16 HOUR + INTERVAL 30 MINUTE AS available_at FROM v_filed_facts
 """)
 def raw_facts(spark, d):
     """The corpus delivered twice; equal facts count once."""
@@ -192,9 +215,9 @@ def raw_facts(spark, d):
 
 @query("resolved_observations", "C15", "security_id:i metric_id:i basis_id:i period_semantics:s fiscal_year:i fiscal_period:s duration_days:i value:f unit_signature:s selection_reason:s", """
 SELECT f.security_id, f.metric_id, CASE f.metric_id WHEN 1 THEN 104 WHEN 8 THEN 801 ELSE f.metric_id * 100 + 1 END AS basis_id, semantics AS period_semantics, year(f.finish) AS fiscal_year, label AS fiscal_period,
-  CASE WHEN semantics = 'instant' THEN 0 ELSE days END AS duration_days, CASE WHEN metric_id = 4 THEN value ELSE CAST(CAST(value AS DECIMAL(38,6)) AS DOUBLE) END AS value,
-  CASE WHEN metric_id = 4 THEN 'shares' ELSE 'USD' END AS unit_signature, 'concept_candidate_priority_' || CASE metric_id WHEN 1 THEN 4 WHEN 8 THEN 2 ELSE 1 END AS selection_reason
-FROM v_filed f JOIN v_assigned a ON a.accession_number = f.accession_number AND a.raw_context_id = f.period_semantics WHERE readable
+  CASE WHEN semantics = 'instant' THEN 0 ELSE days END AS duration_days, amount AS value,
+  CASE metric_id WHEN 4 THEN 'shares' ELSE 'USD' END AS unit_signature, 'concept_candidate_priority_' || CASE metric_id WHEN 1 THEN 4 WHEN 8 THEN 2 ELSE 1 END AS selection_reason
+FROM v_filed f JOIN v_assigned a ON a.accession_number = f.accession_number AND a.raw_context_id = f.ref WHERE readable AND ver <> 5
 """)
 def resolved_observations(spark, d):
     return xbrl.resolve_observations(xbrl.build_raw_facts(parsed(spark, d)))
@@ -202,7 +225,7 @@ def resolved_observations(spark, d):
 
 @query("parse_summary", "C16", "accession_number:s documents_stored:i raw_facts_inserted:i canonical_selected_inserted:i parse_errors:i", """
 SELECT accession_number, 1 AS documents_stored, coalesce(n, 0) AS raw_facts_inserted, CASE WHEN readable THEN obs ELSE 0 END AS canonical_selected_inserted, CASE WHEN readable THEN 0 ELSE 1 END AS parse_errors
-FROM (SELECT accession_number, readable, count(*) AS obs FROM v_filed GROUP BY ALL) LEFT JOIN (SELECT accession_number, count(*) AS n FROM v_filed_facts GROUP BY 1) USING (accession_number)
+FROM (SELECT accession_number, readable, count(*) FILTER (ver <> 5) AS obs FROM v_filed GROUP BY ALL) LEFT JOIN (SELECT accession_number, count(*) AS n FROM v_filed_facts GROUP BY 1) USING (accession_number)
 """)
 def parse_summary(spark, d):
     from fundaflow.plans.ingest import ingest_documents
@@ -277,21 +300,21 @@ def package_hashes(spark, d):
 
 
 @query("package_files", "A6", "accession_number:s name:s document_kind:s", """
-SELECT DISTINCT accession_number, name, kind AS document_kind FROM (SELECT accession_number, k FROM v_filed WHERE k % 5 <> 0 GROUP BY ALL),
-  (VALUES ('index.json', 'sec_archive_index'), ('report.htm', 'inline_xbrl')) x(name, kind)
+SELECT DISTINCT accession_number, name, kind AS document_kind FROM (SELECT accession_number, k FROM v_filed GROUP BY ALL),
+  LATERAL (VALUES ('index.json', 'sec_archive_index'), (CASE WHEN k % 5 = 0 THEN 'report_ins.xml' ELSE 'report.htm' END, CASE WHEN k % 5 = 0 THEN 'xbrl_instance' ELSE 'inline_xbrl' END)) x(name, kind)
 """)
 def package_files(spark, d):
     """Packages with an index, the document, listed notes and an unlisted file."""
-    docs = corpus(spark, d).filter(F.col("document_kind") == "inline_xbrl")
-    index = F.lit('{"directory": {"item": [{"name": "report.htm"}, {"name": "notes.txt"}, {"name": "../up.xml"}, {"name": "/abs.xsd"}]}}')
+    docs = corpus(spark, d)
+    index = F.concat(F.lit('{"directory": {"item": [{"name": "'), "name", F.lit('"}, {"name": "notes.txt"}, {"name": "../up.xml"}, {"name": "/abs.xsd"}]}}'))
     package = F.replace("accession_number", F.lit("-"), F.lit(""))
     items = docs.select("cik", package.alias("package"), F.inline(F.array(
         F.struct(F.lit("index.json").alias("file"), index.alias("value")),
-        F.struct(F.lit("report.htm").alias("file"), F.col("content").cast("string").alias("value")),
+        F.struct(F.col("name").alias("file"), F.col("content").cast("string").alias("value")),
         F.struct(F.lit("notes.txt").alias("file"), F.lit("note").alias("value")),
         F.struct(F.lit("extra.xml").alias("file"), F.lit("<a/>").alias("value")))))
     listed = items.select(
         F.concat_ws("/", "cik", "package", "file").alias("path"), F.sha2("value", 256).alias("sha256"),
         F.when(F.col("file") == "index.json", F.col("value")).alias("index_json"))
-    known = docs.select("cik", "accession_number", F.lit("report.htm").alias("primary_document"), "form", "filed_at", "accepted_at")
+    known = docs.select("cik", "accession_number", F.col("name").alias("primary_document"), "form", "filed_at", "accepted_at")
     return files.package_files(listed, known)

@@ -302,6 +302,29 @@ def risk_gate(spark, d):
         gate.risk_gate(rows, sec, limits).withColumn("variant", F.lit(name)) for name, limits in variants.items()])
 
 
+@query("gate_from_broker_state", "I1", "books:s intent_id:s decision_reason:s cash_usd:f portfolio_value_usd:f reconciled:b", f"""
+SELECT books, intent_id, decision_reason, cash_usd, portfolio_value_usd, reconciled FROM (
+  SELECT variant AS books, intent_id, decision_reason FROM ({_gate_sql("fresh", True, "(SELECT sum(l_extendedprice) FROM lineitem)")} UNION ALL {_gate_sql("stale", False, "0")} UNION ALL {_gate_sql("poor", True, "1000")})
+) JOIN (SELECT 'fresh' AS books, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) AS cash_usd, 1000000.0::DOUBLE AS portfolio_value_usd, TRUE AS reconciled FROM lineitem
+  UNION ALL SELECT 'stale', CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE), 1000000.0::DOUBLE, TRUE FROM lineitem
+  UNION ALL SELECT 'poor', 1000.0::DOUBLE, 1000000.0::DOUBLE, TRUE) USING (books)
+""")
+def gate_from_broker_state(spark, d):
+    """Limits from stored books: cash as traded, checked half an hour or two hours ago; and an override of the cash."""
+    rows, sec = bound_intents(spark, d), t.securities(spark, d)
+    cash = t.table(spark, d, "lineitem").agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("double").alias("cash_usd"))
+    books = cash.select(F.lit(True).alias("reconciled"), F.lit(1_000_000.0).alias("portfolio_value_usd"), "cash_usd")
+    bounds = {name: getattr(t.LIMITS, name) for name in ("max_name_weight_ratio", "max_order_notional_usd", "min_adv_usd", "max_adv_participation_ratio")}
+    found = []
+    for name, minutes, cash_usd in (("fresh", 30, 0.0), ("stale", 120, 0.0), ("poor", 30, 1000.0)):
+        checked = books.withColumn("checked_at", F.lit(t.INSERTED_AT).cast("timestamp") - F.make_interval(mins=F.lit(minutes)))
+        limits = gate.risk_limits(checked, t.NOW, cash_usd=cash_usd, **bounds)
+        found.append(gate.risk_gate(rows, sec, limits).select(
+            F.lit(name).alias("books"), "intent_id", "decision_reason", F.lit(limits.cash_usd).alias("cash_usd"),
+            F.lit(limits.portfolio_value_usd).alias("portfolio_value_usd"), F.lit(limits.broker_reconciled).alias("reconciled")))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("reconciliation_status", "I2", "security_id:i is_fresh:b", """
 SELECT security_id, (security_id % 5 <> 0) AND (security_id % 90) * 60 <= 3600 AS is_fresh FROM v_securities
 """)

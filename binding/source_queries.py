@@ -18,6 +18,7 @@ from fundaflow.operators import features, market, report, universe
 from fundaflow.plans import runs
 from fundaflow.session import cut_lineage, shared_dir
 from fundaflow.sources import files, ledger, tables
+from fundaflow.streaming.table import UpsertTable
 
 
 def stamp():
@@ -73,6 +74,22 @@ def merge_latest_rows(spark, d):
     return tables.merge_latest(base, updates, ["security_id"], F.col("seq"))
 
 
+@query("upsert_table", "A11", "security_id:i symbol:s price_usd:f", """
+SELECT security_id, symbol, CASE WHEN security_id % 3 = 0 THEN price_usd * 2.0::DOUBLE WHEN security_id % 3 = 1 THEN price_usd * 3.0::DOUBLE ELSE price_usd END AS price_usd FROM v_securities
+UNION ALL SELECT security_id + 5000000, symbol, price_usd * 2.0::DOUBLE FROM v_securities WHERE security_id % 3 = 0
+""")
+def upsert_table(spark, d):
+    """The base, then updates and new rows, then updates of updated rows: three segments merged on read."""
+    stored = UpsertTable(spark, f"{scratch(spark)}/prices", ["security_id"], fanout=3)
+    base = t.securities(spark, d).select("security_id", "symbol", "price_usd")
+    s, p = F.col("security_id"), F.col("price_usd")
+    stored.upsert(base, 0)
+    added = base.filter(s % 3 == 0).select((s + 5_000_000).alias("security_id"), "symbol", (p * 2.0).alias("price_usd"))
+    stored.upsert(base.filter(s % 3 != 2).withColumn("price_usd", p * 2.0).unionByName(added), 1)
+    stored.upsert(base.filter(s % 3 == 1).withColumn("price_usd", p * 3.0), 2)
+    return stored.latest()
+
+
 @query("source_documents", "A7", "sha256:s doc_id:s source_url:s", """
 SELECT sha256, source_url, 'doc-' || sha256('cik=' || cik || '|url=' || source_url || '|sha256=' || sha256) AS doc_id
 FROM (SELECT sha256(text) AS sha256, lpad(CAST(doc_id % 50 AS VARCHAR), 10, '0') AS cik, 'https://files.example/' || doc_id AS source_url FROM documents)

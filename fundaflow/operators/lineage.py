@@ -58,22 +58,32 @@ def register_products(new: DataFrame, parents: DataFrame, products: DataFrame, l
     return vertices, new_rows(lineage, edges, ["child_product_id", "parent_product_id", "role"])
 
 
+def _doubled(step: DataFrame) -> DataFrame:
+    """(a, b) for walks of two steps; walks that end where they began are left out."""
+    further = step.select(F.col("b").alias("m"), F.col("a").alias("first"))
+    onward = step.select(F.col("a").alias("m"), F.col("b").alias("second"))
+    return further.join(onward, "m").where("first != second").select(F.col("first").alias("a"), F.col("second").alias("b")).distinct()
+
+
 def ancestors(lineage: DataFrame, products: DataFrame, roots: DataFrame) -> DataFrame:
     """All products reachable from each root through its parents, the root included.
 
-    Frontier joins until nothing new appears; visited pairs are dropped, so cycles end.  The
-    edges are made distinct and checkpointed once; each round checkpoints its frontier only, and
-    what was visited is the union of the frontiers.  Products missing from the table are marked.
+    Path doubling: after round i everything within 2^i - 1 steps of a root is known, and `step` holds the
+    pairs that are 2^i steps apart, so a chain of n products takes log2(n) + 2 rounds.  What a round adds lies
+    2^i steps beyond what was known; when it adds nothing there is nothing further away.  No shortest path
+    returns to a product, so steps that do are left out, and cycles end.  Only what is reachable from the roots
+    is kept per root; pairs of `step` are as many as products have ancestors at just that distance.  Products
+    missing from the table are marked.
     """
-    parents = cut_lineage(lineage.select(F.col("child_product_id").alias("product_id"), F.col("parent_product_id").alias("next_id")).distinct())
+    step = cut_lineage(lineage.select(F.col("child_product_id").alias("a"), F.col("parent_product_id").alias("b")).where("a != b").distinct())
     visited = cut_lineage(roots.select(F.col("product_id").alias("root_product_id"), "product_id").distinct())
-    frontier = visited
     while True:
-        reached = frontier.join(parents, "product_id").select("root_product_id", F.col("next_id").alias("product_id")).distinct()
-        frontier = cut_lineage(reached.join(visited, ["root_product_id", "product_id"], "left_anti"))
-        if frontier.isEmpty():
+        reached = visited.join(step, visited["product_id"] == step["a"]).select("root_product_id", F.col("b").alias("product_id")).distinct()
+        fresh = cut_lineage(reached.join(visited, ["root_product_id", "product_id"], "left_anti"))
+        if fresh.isEmpty():
             break
-        visited = visited.unionByName(frontier)
+        visited = visited.unionByName(fresh)
+        step = cut_lineage(_doubled(step))
     known = products.select("product_id", F.lit(True).alias("known")).distinct()
     return visited.join(known, "product_id", "left").select("root_product_id", "product_id", F.col("known").isNull().alias("is_missing"))
 
@@ -226,24 +236,37 @@ def audit_declarations(layers: DataFrame, nodes: DataFrame, outputs: DataFrame)
     ])
 
 
-def audit_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes left after repeatedly removing nodes without incoming edges.
+#: Pairs that a doubled graph may have for each edge of the given one.
+WALKS = 8
 
-    Each round keeps the edges whose source still has an incoming edge.  What remains when a
-    round removes nothing lies on a directed cycle or behind one.  Between rounds, a source
-    with a single parent is replaced by that parent, since it stays exactly if its parent does:
-    unbranched chains halve each time, so their length does not decide the number of rounds.
+
+def audit_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on a directed cycle or behind one.
+
+    Each round keeps the edges whose source has an incoming edge; when that removes nothing, what is left is
+    the answer.  Between rounds the graph is replaced by that of walks of two edges: nodes on or behind a cycle
+    have incoming walks of any length, all others lose theirs, so the next round removes twice as many layers
+    of nodes and an acyclic graph of n layers takes log2(n) rounds, however it branches.  Where walks of two
+    edges would be many more than edges (inside a large knot of cycles), only sources with a single parent are
+    replaced by it, so the graph never grows beyond WALKS times its size.  Both replacements leave walks of
+    the graph, and an incoming one from the answer for each node of the answer, so no result depends on them.
     """
     left = cut_lineage(edges.select("from_node_id", "to_node_id").distinct())
+    most = WALKS * left.count()
     while True:
         before = left.count()
         fed = left.select(F.col("to_node_id").alias("from_node_id")).distinct()
         kept = cut_lineage(left.join(fed, "from_node_id", "left_semi"))
         if kept.count() in (0, before):
             break
-        parents = kept.groupBy(F.col("to_node_id").alias("from_node_id")).agg(F.count("*").alias("n"), F.min("from_node_id").alias("parent"))
-        single = parents.filter("n = 1").select("from_node_id", "parent")
-        left = cut_lineage(kept.join(single, "from_node_id", "left").select(F.coalesce("parent", "from_node_id").alias("from_node_id"), "to_node_id").distinct())
+        parents = kept.groupBy(F.col("to_node_id").alias("node")).agg(F.count("*").alias("n"), F.min("from_node_id").alias("parent"))
+        walks = kept.join(parents, kept["from_node_id"] == parents["node"])
+        if (walks.agg(F.sum("n")).first()[0] or 0) <= most:
+            back = kept.select(F.col("from_node_id").alias("first"), F.col("to_node_id").alias("from_node_id"))
+            left = cut_lineage(kept.join(back, "from_node_id").select(F.col("first").alias("from_node_id"), "to_node_id").distinct())
+        else:
+            single = parents.filter("n = 1").select(F.col("node").alias("from_node_id"), "parent")
+            left = cut_lineage(kept.join(single, "from_node_id", "left").select(F.coalesce("parent", "from_node_id").alias("from_node_id"), "to_node_id").distinct())
     nodes = kept.select(F.col("to_node_id").alias("node_id")).distinct()
     return _found(nodes, "GRAPH_MUST_BE_ACYCLIC", F.col("node_id"), F.lit("workflow graph contains a directed cycle"))
 

@@ -14,6 +14,7 @@ from fundaflow.operators import discovery, features, gate, growth, lineage, stat
 from fundaflow.plans.ingest import ingest_documents
 from fundaflow.sources import files, tables
 from fundaflow.streaming import jobs
+from fundaflow.streaming.table import StreamTable
 from tests import builders as b
 from tests.test_model_cases import LIMITS, NOW, intents, rows_of
 from tests.test_sources_and_filings import INLINE, INSTANCE, filing
@@ -116,7 +117,7 @@ def test_streamed_packages_equal_the_batch_run(spark, tmp_path):
         assert q.exception() is None
 
     run()
-    assert {r.accession_number for r in spark.read.parquet(f"{store}/xbrl_facts").collect()} == {"0000000077-23-000001"}
+    assert {r.accession_number for r in StreamTable(spark, f"{store}/xbrl_facts").read().collect()} == {"0000000077-23-000001"}
     known.append(rows[1])
     package(raw, "000000007723000003", ["a_ins.xml", "b_ins.xml"], b_ins__xml=INSTANCE)
     run()
@@ -126,7 +127,7 @@ def test_streamed_packages_equal_the_batch_run(spark, tmp_path):
     want = ingest_documents(listed.withColumn("doc_id", F.concat_ws("/", "accession_number", "name")))
     for name in ("xbrl_facts", "canonical_observations", "reporting_periods", "xbrl_contexts", "xbrl_units", "dimension_signatures", "parse_errors"):
         columns = sorted(set(want[name].columns))
-        got = sorted(map(str, spark.read.parquet(f"{store}/{name}").select(columns).collect()))
+        got = sorted(map(str, StreamTable(spark, f"{store}/{name}").read().select(columns).collect()))
         assert got == sorted(map(str, want[name].select(columns).collect())), name
     assert want["parse_errors"].count() == 1
 
@@ -147,29 +148,16 @@ def test_orders_approved_before_a_mode_change_are_staged_after_it(spark, tmp_pat
     mode[0] = "stage"
     offer("b", 3)
     offer("c", 4)
-    decisions = spark.read.parquet(f"{tmp_path}/store/risk_decisions")
-    staged = spark.read.parquet(f"{tmp_path}/store/staged_orders")
+    decisions = StreamTable(spark, f"{tmp_path}/store/risk_decisions").read()
+    staged = StreamTable(spark, f"{tmp_path}/store/staged_orders").read()
     assert decisions.filter("approved").count() == 4
     assert staged.count() == 4 and staged.select("staged_order_id", "decision_id").distinct().count() == 4
-    events = {r.event_type: r["count"] for r in spark.read.parquet(f"{tmp_path}/store/events").groupBy("event_type").count().collect()}
+    events = {r.event_type: r["count"] for r in StreamTable(spark, f"{tmp_path}/store/events").read().groupBy("event_type").count().collect()}
     assert events == {"gate_completed": 3, "order_staged": 4}
     none_sent = spark.createDataFrame([], "staged_order_id string, event_type string")
     assert gate.submittable(staged, none_sent, "paper", LIMITS).count() == 4
 
 
-def test_a_batch_reads_the_buckets_it_touches(spark, tmp_path):
-    rows = spark.range(400).select("id", (F.col("id") % 7).alias("v"))
-    for i in range(4):
-        jobs.append_once(rows.filter(F.col("id") % 4 == i), i, f"{tmp_path}/t", ["id"], buckets=16)
-    touched = jobs.append_once(rows.filter("id = 9"), 4, f"{tmp_path}/t", ["id"], buckets=16)
-    assert len(touched) == 1
-    read = jobs.read_buckets(spark, f"{tmp_path}/t", rows.schema, touched)
-    plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
-    assert 0 < read.count() < 200
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 400
-
-
 def test_latest_and_prior_in_one_pass(spark):
     rows = [b.statement(1, e) for e in ("2024-03-31", "2023-12-31", "2023-03-31", "2022-03-31")] + [b.statement(2, "2024-03-31"), b.statement(3, "2024-03-31"), b.statement(3, "2021-03-31")]
     snaps = statements.statement_snapshots(b.statements(spark, rows), F.lit("2024-01-01").cast("timestamp"))

@@ -13,6 +13,7 @@ from fundaflow.operators import audit, discovery, lineage, market, xbrl
 from fundaflow.plans.ingest import ingest_documents
 from fundaflow.sources import files, tables
 from fundaflow.streaming import jobs
+from fundaflow.streaming.table import StreamTable
 from tests import builders as b
 
 XML = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -111,15 +112,16 @@ def test_stream_filings_once(spark, tmp_path):
     for _ in range(2):
         q = jobs.stream_filings(spark, f"{tmp_path}/raw", filing(spark), f"{tmp_path}/store", f"{tmp_path}/cursor", availableNow=True)
         q.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/store/canonical_observations").count() == 4
+    assert StreamTable(spark, f"{tmp_path}/store/canonical_observations").read().count() == 4
 
 
 def test_streaming_retry_replaces_its_batch(spark, tmp_path):
     rows = spark.range(10).select("id", (F.col("id") % 5).alias("key"))
+    table = StreamTable(spark, f"{tmp_path}/t", ["key"])
     for _ in range(2):
-        jobs.append_once(rows, 0, f"{tmp_path}/t", ["key"])
-    jobs.append_once(rows.withColumn("key", F.col("id")), 1, f"{tmp_path}/t", ["key"])
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 10
+        table.append_once(rows, 0)
+    table.append_once(rows.withColumn("key", F.col("id")), 1)
+    assert table.read().count() == 10
 
 
 def test_security_master_csv(spark, tmp_path):
