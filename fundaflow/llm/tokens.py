@@ -11,6 +11,8 @@ independently of their neighbours, which `drops_space` checks on the tokenizer i
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from fundaflow.llm.shared import arrow_map, pick
@@ -28,12 +31,20 @@ OVERLAP = 512
 GUARD = 48
 #: Tokens on both sides of a boundary that have to agree.
 AGREE = 3
-#: Words a Python worker remembers at most, and the longest that it remembers.
+#: Words a Python worker remembers at most, the longest that it remembers, and words that are encoded in one call.
 MEMO_WORDS = 800_000
 MEMO_BYTES = 64
+TOGETHER = 200
 
 _SPACES = " \t\n\r\x0b\x0c"
 
+# The splitting pattern of vocabularies with word ends, and the normalizers in front of it.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+#: Words for which that pattern is the next one: printable ASCII and Latin letters that normalization leaves alone.
+_PLAIN = re.compile(r"^(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+$", re.MULTILINE)
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
+
 
 @dataclass
 class Encoded:
@@ -45,7 +56,8 @@ class Tokenizer:
     """One vocabulary file: .json by tokenizers, .model by sentencepiece."""
 
     def __init__(self, path: str):
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}  # words seen lately,
+        self.older: dict[bytes, bytes] = {}  # and those seen before them: what is not seen again goes first
         if path.endswith(".json"):
             import os
 
@@ -64,6 +76,8 @@ class Tokenizer:
         else:
             raise ValueError(f"no library for {path}")
         self.drops_space = path.endswith(".json") and self._drops_space()
+        self.splits = self.drops_space and self._splits()
+        self.pieces: dict[str, bytes] = {}
 
     def _offsets_json(self, text: str) -> Encoded:
         e = self._t.encode(text, add_special_tokens=False)
@@ -82,34 +96,96 @@ class Tokenizer:
         alone = [i for w in words for i in self.many([w])[0]]
         return all(self.many([s])[0] == [] and self.many([s.join(words)])[0] == alone for s in (" ", "\t", "\n", " \r\n", "\x0b", "\x0c"))
 
-    def word_ids(self, texts: list[str]) -> list[list[bytes]]:
-        """Per text, the little-endian 32-bit ids of each of its words."""
-        memo, split = self.memo, [t.encode("utf-8", "replace").split() for t in texts]
-        fresh = {w for words in split for w in words if w not in memo}
-        extra: dict[bytes, bytes] = {}
+    def _splits(self) -> bool:
+        """Whether the file says that words are normalized and split by the pattern known here, and pieces encoded on their own."""
+        said = json.loads(self._t.to_str())
+        normal = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
+        split = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        special = all(a["content"].startswith("<|") and not a["normalized"] for a in said["added_tokens"])
+        return normal == _NORMAL and split.get("pattern") == {"Regex": _SPLIT} and split.get("invert") is True and special and bool(said["model"].get("end_of_word_suffix"))
+
+    def by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, the place where each text ends), by looking up each distinct word once."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        flat = split.flatten().dictionary_encode()
+        _, at, data = flat.dictionary.buffers()
+        at, data = np.frombuffer(at, np.int32)[: len(flat.dictionary) + 1].tolist(), b"" if data is None else data.to_pybytes()
+        words = [data[lo:hi] for lo, hi in zip(at, at[1:])]
+        table = self._looked_up(words)
+        pool = np.frombuffer(b"".join(table), np.uint32)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begin = np.cumsum(size) - size
+        word = flat.indices.to_numpy()
+        sizes = size[word]
+        ends = np.cumsum(sizes)
+        ids = pool[np.repeat(begin[word] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        return ids, np.append(0, ends)[split.offsets.to_numpy()[1:]]
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """The little-endian 32-bit ids of distinct words, remembered where they were seen lately."""
+        fresh = [w for w in words if w not in self.memo]
         if fresh:
-            order = list(fresh)
-            for at in range(0, len(order), 20_000):
-                part = order[at : at + 20_000]
-                for w, ids in zip(part, self.many([w.decode() for w in part]), strict=True):
-                    room = len(memo) < MEMO_WORDS and len(w) <= MEMO_BYTES
-                    (memo if room else extra)[w] = np.array(ids, np.uint32).tobytes()
-        if not extra:
-            return [list(map(memo.__getitem__, words)) for words in split]
-        return [[memo[w] if w in memo else extra[w] for w in words] for words in split]
+            found = {w: self.older[w] for w in fresh if w in self.older}
+            found.update(self._encoded([w for w in fresh if w and w not in found]))
+            found.setdefault(b"", b"")
+            if len(self.memo) + len(found) > MEMO_WORDS // 2:
+                self.memo, self.older = {w: self.memo[w] for w in words if w in self.memo}, self.memo
+            self.memo.update(found)
+        out = [self.memo[w] for w in words]
+        for w in fresh:
+            if len(w) > MEMO_BYTES:
+                del self.memo[w]
+        return out
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that white space separates; plain ones are put together from their pieces, which many words share."""
+        lines = b"\n".join(words).decode()
+        plain = _PLAIN.findall(lines) if self.splits else []
+        whole = list(set(lines.split("\n")).difference(plain)) if len(plain) < len(words) else []
+        known = self.pieces
+        pieces = _PIECES.findall("\n".join(plain).lower())
+        fresh = set(pieces)
+        if len(known) + len(fresh) > MEMO_WORDS:
+            known.clear()
+        known.update(self._together(list(fresh.difference(known, ["\n"]))))
+        known["\n"] = b""
+        ids = list(map(known.__getitem__, pieces))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        last = [i for i, p in enumerate(pieces) if p == "\n"]
+        cuts = [0, *ends[last].tolist(), *ends[-1:].tolist()]
+        data = b"".join(ids)
+        out = {name.encode(): data[lo:hi] for name, lo, hi in zip(plain, cuts, cuts[1:])}
+        out.update((name.encode(), ids) for name, ids in self._together(whole).items())
+        return out
+
+    def _together(self, names: list[str]) -> dict[str, bytes]:
+        """The ids of each of the names, many in one call: a token belongs to the name that it begins in."""
+        out: dict[str, bytes] = {}
+        parts = range(0, len(names), TOGETHER)
+        lines = [" ".join(names[at : at + TOGETHER]) for at in parts]
+        for at, e in zip(parts, self._t.encode_batch(lines, add_special_tokens=False), strict=True):
+            part = names[at : at + TOGETHER]
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cuts = (4 * np.searchsorted(starts, np.append(0, np.cumsum(sizes)))).tolist()
+            data = np.array(e.ids, np.uint32).tobytes()
+            for name, lo, hi in zip(part, cuts, cuts[1:]):
+                out[name] = data[lo:hi]
+        return out
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """Per text, all its ids as little-endian unsigned 32-bit numbers."""
         if self.drops_space:
-            return [b"".join(words) for words in self.word_ids(texts)]
+            ids, ends = self.by_words(texts)
+            return [ids[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if texts else []
         return [np.array(ids, np.uint32).tobytes() for ids in self.many(texts)]
 
     def counts(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
         out = [0] * len(texts)
         short = [i for i, t in enumerate(texts) if len(t) <= chunk]
-        if self.drops_space:
-            for i, words in zip(short, self.word_ids([texts[i] for i in short]), strict=True):
-                out[i] = sum(map(len, words)) // 4
+        if self.drops_space and short:
+            for i, n in zip(short, np.diff(self.by_words([texts[i] for i in short])[1], prepend=0).tolist(), strict=True):
+                out[i] = n
         else:
             for i, ids in zip(short, self.many([texts[i] for i in short]), strict=True):
                 out[i] = len(ids)
