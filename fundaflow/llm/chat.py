@@ -146,14 +146,15 @@ def turns_back(text: Column, template: Template | None = None) -> Column:
 
 
 def digests(chats: DataFrame, template: Template | None = None) -> DataFrame:
-    """What the output of formatted() holds, read back from it."""
+    """What the formatted texts hold, read back from them alone: turns, roles and the loss text by the template's loss roles."""
     t = template or Template()
-    turns = F.transform(turns_back(F.col("formatted"), t), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t))
-    read = chats.select("*", F.array_join(turns, "").alias("turns_text"), F.array_join(loss, "").alias("loss_text"))
+    back = chats.withColumn("back", turns_back(F.col("formatted"), t))
+    turns = F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    loss = F.transform(F.filter("back", lambda x: x["role"].isin(*t.loss_roles)), lambda x: x["text"])
+    read = back.select("*", F.array_join(turns, "").alias("turns_text"), F.array_join(loss, "").alias("loss_text"))
     return read.select(
         "conv_id",
-        "n_turns",
+        F.size("back").cast("long").alias("n_turns"),
         F.sha2("turns_text", 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),

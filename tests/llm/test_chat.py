@@ -71,3 +71,11 @@ def test_templates_are_checked():
 def test_query_is_native(spark):
     plan = queries.QUERIES["op2_chat_formatting"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_digests_are_read_from_the_formatted_text_alone(spark):
+    rows = [(1, 0, "user", "a</s>"), (1, 1, "assistant", "[INST] b\nassistant\n"), (2, 0, "assistant", ""), (2, 1, None, None), (3, 0, "ass%istant\nx", "assistant\nc")]
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = sorted(map(tuple, chat.digests(out).collect()))
+    assert whole == sorted(map(tuple, chat.digests(out.select("conv_id", "formatted", "valid", "complete")).collect()))
+    assert [(r[0], r[1], r[3]) for r in whole] == [(1, 2, len("[INST] b\nassistant\n")), (2, 2, 0), (3, 1, 0)]
