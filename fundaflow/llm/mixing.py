@@ -2,8 +2,13 @@
 
 A softmax classifier trained on a labelled table gives each document its posteriors of the domains.  Rates per
 document, not below zero, are then fitted by projected gradients so that the expected tokens of each domain
-match the targets, in least squares, with a small pull toward rate 1.  A round is one grouped sum over a narrow
-table of posteriors; only its few domain totals reach the driver.
+match the targets, in least squares, with a small pull toward rate 1.
+
+At the optimum a document's rate is 1 minus its posteriors times one multiplier a domain, projected onto the
+allowed rates; so the gradient steps are taken in the few multipliers, scaled by the curvature that the
+documents with free rates give.  A round is one grouped sum over a narrow table of posteriors, of which only
+domain totals and their second moments reach the driver.  The fit ends when the projected gradient vanishes,
+however many rounds that takes; the objective is piecewise quadratic, so they are few.
 """
 
 from __future__ import annotations
@@ -24,11 +29,11 @@ WIDTH = 512
 MAX_LABELLED = 8_192
 TRAINING_ROUNDS = 300
 #: Pull of each rate toward 1, relative to the domains' mismatch.
-PULL = 0.002
-#: Bounds on rounds of the fit; it ends when no domain is further off than this share of the total.
-ROUNDS, CLOSE = 40, 1e-4
-#: Where the chain of updates is written down.
-EVERY = 10
+PULL = 1e-4
+#: The fit ends when no component of the projected gradient is more than this share of the total.
+FLAT = 1e-9
+#: A fit whose totals are further off than this share of the total warns.
+CLOSE = 1e-4
 
 
 def features(text: str) -> np.ndarray:
@@ -77,10 +82,10 @@ def domain_classifier(labelled: DataFrame, names: tuple[str, ...], text_col: str
                       most: int = MAX_LABELLED) -> Domains:
     """Trained on about `most` labelled rows at most, chosen by hash; rows of other or null domains teach nothing."""
     rows = pick(labelled, doc=id_col, text=text_col, domain=domain_col).where(F.col("domain").isin(*names))
-    keys = rows.select("doc")
-    total = keys.count()
+    total = rows.select("doc").distinct().count()
     if total > most:
         rows = rows.where(F.pmod(F.xxhash64("doc", F.lit("mixing")), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / total)))
+    rows = rows.groupBy("doc", "domain").agg(F.min("text").alias("text")).select("doc", "text", "domain")  # one row a label, however often its id stands in the corpus
 
     def see(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(2), pa.array([features(t or "").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["domain", "x"])
@@ -115,21 +120,17 @@ def _dot(g: list[float]) -> Column:
 
 @dataclass(frozen=True)
 class Fit:
-    """The updates of the rates, one gradient per round, and where they led."""
+    """The multipliers of the domains, and where the rates that follow from them lead."""
 
-    gradients: list[list[float]]
+    multipliers: list[float]
     totals: list[float]
     wanted: list[float]
     least: float
     most: float
+    rounds: int = 0
 
-    def rate(self, start: Column | None = None, since: int = 0) -> Column:
-        w = F.lit(1.0) if start is None else start
-        for g in self.gradients[since:]:
-            eta = 1.0 / (1.0 + PULL)
-            w = F.greatest(w * F.lit(1.0 - eta * PULL) + F.lit(eta * PULL) - F.lit(eta) * _dot(g), F.lit(self.least))
-            w = w if math.isinf(self.most) else F.least(w, F.lit(self.most))
-        return w
+    def rate(self) -> Column:
+        return _projected(_dot(self.multipliers), self.least, self.most) if self.multipliers else F.lit(1.0)
 
     @property
     def off(self) -> float:
@@ -142,43 +143,67 @@ class Fit:
         return self.off <= CLOSE
 
 
+def _projected(pressure: Column, least: float, most: float) -> Column:
+    rate = F.greatest(F.lit(1.0) - pressure, F.lit(least))
+    return rate if math.isinf(most) else F.least(rate, F.lit(most))
+
+
 def fitted(members: DataFrame, targets: tuple[float, ...], least: float = 0.0, most: float = math.inf, whole: bool = False) -> Fit:
     """Rates for rows of (mix_tokens, mix_p): their expected domain tokens against `targets` (shares, which are scaled to 1).
 
     The total aimed at is the one that there is; with `whole` it is the smallest one that no domain exceeds
-    already, so that no document has to be thinned out.  Rates have no upper bound unless `most` is given; a fit that
-    misses CLOSE warns, and its `off` says by how much.  Each domain's mismatch is measured against its own
-    tokens, which makes the problem well-conditioned and the step size 1.
+    already, so that no document has to be thinned out.  Rates have no upper bound unless `most` is given.
+    Minimized is half the sum over domains of (total - wanted)^2 / scale, scale being the domain's own tokens, plus
+    half of PULL times tokens * (rate - 1)^2; a target that cannot be met leaves the totals off, which warns.
     """
     share = np.array(targets, float) / sum(targets)
     size = len(share)
-    domain = [F.get("mix_p", F.lit(k)) * F.col("mix_tokens") for k in range(size)]
-
-    def sums(table: DataFrame, rate: Column) -> np.ndarray:
-        row = table.select("mix_tokens", "mix_p", rate.alias("w")).agg(*[F.sum(c * F.col("w")).alias(f"d{k}") for k, c in enumerate(domain)]).first()
-        return np.array([x or 0.0 for x in row])
-
-    there = sums(members, F.lit(1.0))
-    total = float(there.sum())
+    p = [F.get("mix_p", F.lit(k)) for k in range(size)]
+    pairs = [(k, j) for k in range(size) for j in range(k, size)]
+
+    def measured(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Domain totals at the projected rates, second moments of the free documents, and the dual objective's sum."""
+        pressure, tokens = F.col("pressure"), F.col("mix_tokens").cast("double")
+        rows = members.select("mix_tokens", "mix_p", _dot(multipliers.tolist()).alias("pressure")).withColumn("w", _projected(pressure, least, most))
+        w, free = F.col("w"), (F.col("w") == F.lit(1.0) - pressure).cast("double")
+        row = rows.agg(
+            *[F.sum(tokens * p[k] * w) for k in range(size)], *[F.sum(tokens * p[k] * p[j] * free) for k, j in pairs],
+            F.sum(tokens * (w * (F.lit(1.0) - pressure) - w * w / 2)),
+        ).first()
+        values = [x or 0.0 for x in row]
+        moments = np.zeros((size, size))
+        for (k, j), v in zip(pairs, values[size:-1], strict=True):
+            moments[k, j] = moments[j, k] = v
+        return np.array(values[:size]), moments, values[-1]
+
+    at = np.zeros(size)
+    totals, moments, value = measured(at)
+    total = float(totals.sum())
     if total <= 0:
         return Fit([], [0.0] * size, [0.0] * size, least, most)
-    aimed = max(there / np.maximum(share, 1e-12)) if whole else total
+    aimed = max(totals / np.maximum(share, 1e-12)) if whole else total
     wanted = share * aimed
-    scale = np.maximum(there, 1e-6 * total)
-    gradients: list[list[float]] = []
-    now, table, since = there, members.select("mix_tokens", "mix_p", F.lit(1.0).alias("rate")), 0
-    for _ in range(ROUNDS):
-        residual = now - wanted
-        if np.abs(residual).max() <= CLOSE * aimed:
+    ridge = PULL * np.maximum(totals, 1e-6 * total)
+    dual = lambda value, at: value + float(wanted @ at) + float(ridge @ (at * at)) / 2
+    rounds = 0
+    while True:
+        gradient = totals - wanted - ridge * at  # of the projected rates' least squares
+        if np.abs(gradient).max() <= FLAT * aimed:
+            break
+        step = np.linalg.solve(moments + np.diag(ridge), gradient)
+        length, here, moved = 1.0, dual(value, at), False
+        while not moved and length > 1e-9:
+            rounds += 1
+            next_totals, next_moments, next_value = measured(at + length * step)
+            # no lower by the sum's own rounding: as flat as doubles can tell
+            moved = dual(next_value, at + length * step) <= here - 1e-4 * length * float(gradient @ step)
+            length = length if moved else length / 2
+        if not moved:
             break
-        gradients.append((residual / scale).tolist())
-        fit = Fit(gradients, [], [], least, most)
-        if len(gradients) - since >= EVERY:
-            table, since = checkpointed(table.select("mix_tokens", "mix_p", fit.rate(F.col("rate"), since).alias("rate"))), len(gradients)
-        now = sums(table, fit.rate(F.col("rate"), since))
-    out = Fit(gradients, now.tolist(), wanted.tolist(), least, most)
+        at, totals, moments, value = at + length * step, next_totals, next_moments, next_value
+    out = Fit(at.tolist(), totals.tolist(), wanted.tolist(), least, most, rounds)
     if not out.met:
-        warnings.warn(f"mixing: a domain is {out.off:.2%} of the total off its target after {len(gradients)} rounds; wanted {out.wanted}, got {out.totals}", stacklevel=2)
+        warnings.warn(f"mixing: a domain is {out.off:.2%} of the total off its target; wanted {out.wanted}, got {out.totals}", stacklevel=2)
     return out
 
 
