@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -56,6 +57,26 @@ _PARTS = frozenset(
     "comment comments reply replies respond disqus cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription share sharing social "
     "related recommended widget login signup signin search pagination pager toolbar copyright masthead topbar".split()
 )
+# Words of class names and ids that say how a part is laid out, not what it is.
+_NEUTRAL = frozenset(
+    "box boxes bar list lists slot wrapper wrap container block blocks unit units item items posts section area link links button buttons inner outer form row col column grid panel "
+    "title header heading top bottom left right label count icon icons js fixed sticky small large".split()
+)
+#: Modulus and base of the rolling hash over words and paths.
+_MODULUS, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
+
+
+class _Rolling:
+    """Hashes of any span of a sequence of whole numbers, from the hashes of its beginnings."""
+
+    def __init__(self, values):
+        self.sums, self.powers = [0], [1]
+        for v in values:
+            self.sums.append((self.sums[-1] * _BASE + v + 1) % _MODULUS)
+            self.powers.append(self.powers[-1] * _BASE % _MODULUS)
+
+    def span(self, lo: int, hi: int) -> bytes:
+        return ((self.sums[hi] - self.sums[lo] * self.powers[hi - lo]) % _MODULUS).to_bytes(8, "big") + (hi - lo).to_bytes(8, "big")
 
 
 #: Host of a URL, without user and port.
@@ -75,6 +96,7 @@ class Page:
         self.last = [0]  # the last node below each
         self.begin, self.end = [0], [0]  # the items below each
         self.hidden = [False]
+        self.within = [False]  # an article or a main element
         self.items: list[tuple[int, str | None]] = []
         self._contents: list[int] | None = None
         self._read(source)
@@ -95,6 +117,7 @@ class Page:
         self.label.append(label)
         self.path.append(xxhash.xxh3_64_intdigest(label, self.path[up]))
         self.hidden.append(hidden)
+        self.within.append(self.within[up] or self.tag[up] in ("article", "main"))
         self.begin.append(len(self.items))
         self.end.append(len(self.items))
         self.last.append(len(self.tag) - 1)
@@ -103,10 +126,12 @@ class Page:
     def _read(self, source: str) -> None:
         stack, at, items, tag_of = [0], 0, self.items, self.tag
         n = len(source)
+        opened: Counter[str] = Counter()  # elements of the stack by tag: what is not open needs no search
 
         def close(to: int) -> None:
             for x in stack[to:]:
                 self.end[x] = len(items)
+                opened[tag_of[x]] -= 1
             if any(tag_of[x] in _BLOCK for x in stack[to:]):
                 items.append((stack[to], None))
             del stack[to:]
@@ -122,7 +147,7 @@ class Page:
                 continue
             tag = name.lower()
             if m.group(1) or m.group(4):
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if tag_of[stack[k]] == tag:
                         close(k)
                         break
@@ -133,7 +158,8 @@ class Page:
                 items.append((stack[-1], " "))
             if tag in _BLOCK or tag in _CLOSES:
                 ends, stops = _CLOSES.get(tag, (set(), set()))
-                for k in range(len(stack) - 1, 0, -1):
+                searched = opened["p"] and tag in _BLOCK or any(opened[e] for e in ends)
+                for k in range(len(stack) - 1, 0, -1) if searched else ():
                     seen = tag_of[stack[k]]
                     if seen in ends or seen == "p" and tag in _BLOCK:
                         close(k)
@@ -149,6 +175,7 @@ class Page:
                 at = end.end() if end else n
             elif tag not in _VOID:
                 stack.append(node)
+                opened[tag] += 1
         for x in stack:
             self.end[x] = len(items)
         for k in range(len(tag_of) - 1, 0, -1):
@@ -156,10 +183,9 @@ class Page:
             self.last[up] = max(self.last[up], self.last[k])
 
     def pure(self, k: int) -> bool:
-        """Whether the class, id and role name nothing but what is not the main text."""
-        words = [_PART.findall(w) for w in re.split(r"[.#@]", self.label[k][len(self.tag[k]) :])]
-        words = [w for w in words if w]
-        return bool(words) and all(p.lower() in _PARTS for w in words for p in w)
+        """Whether the class, id and role name nothing but what is not the main text, and how it is laid out."""
+        parts = [p.lower() for p in _PART.findall(self.label[k][len(self.tag[k]) :])]
+        return any(p in _PARTS for p in parts) and all(p in _PARTS or p in _NEUTRAL for p in parts)
 
     def chrome(self, k: int) -> bool:
         """Whether the presentation's own name says that this is not the main text."""
@@ -174,7 +200,8 @@ class Page:
             return self.pure(k)
         if "@" in label and label.split("@")[1] in _ROLES:
             return True
-        return any(p.lower() in _PARTS for p in _PART.findall(label[len(tag) :]))
+        # inside an article a name that tells of anything else is no proof
+        return self.pure(k) if self.inside(k) else any(p.lower() in _PARTS for p in _PART.findall(label[len(tag) :]))
 
     def firm(self, k: int) -> bool:
         """Whether the element itself is out, whatever it holds; a form may stand around a whole page."""
@@ -216,11 +243,7 @@ class Page:
         return body
 
     def inside(self, k: int) -> bool:
-        while k > 0:
-            k = self.parent[k]
-            if self.tag[k] in ("article", "main"):
-                return True
-        return False
+        return self.within[k]
 
     def states(self, low: frozenset[int] = frozenset()) -> tuple[list[bool], list[bool], list[bool]]:
         """Of each node: dropped by name, inside the main text, and protected (outside of it, or its root)."""
@@ -262,8 +285,9 @@ class Page:
                 parts.extend(t.split() if t is not None else ())
                 before.append(len(parts))
             spans = [(before[b], before[e]) for b, e in zip(self.begin, self.end, strict=True)]
+            words = _Rolling(map(xxhash.xxh3_64_intdigest, parts))
             self._contents = [
-                xxhash.xxh3_64_intdigest(" ".join(parts[slice(*spans[k])]), self.path[k]) if k and spans[k][0] < spans[k][1] and (not self.parent[k] or spans[k] != spans[self.parent[k]]) else 0
+                xxhash.xxh3_64_intdigest(words.span(*spans[k]), self.path[k]) if k and spans[k][0] < spans[k][1] and (not self.parent[k] or spans[k] != spans[self.parent[k]]) else 0
                 for k in range(len(self.tag))
             ]
         return self._contents
@@ -282,13 +306,14 @@ class Page:
         """(path, style, content, how often, 1 for the first content of a path) of the page's nodes: hashes of the presentations and of the text below."""
         out: dict[tuple[int, int], list[int]] = {}
         seen: set[int] = set()
+        paths = _Rolling(self.path)
         for k, content in enumerate(self.contents()):
             if content:
                 path = self.path[k]
                 if (path, content) in out:
                     out[path, content][1] += 1
                     continue
-                style = xxhash.xxh3_64_intdigest("\0".join(f"{self.path[x]:x}" for x in range(k, self.last[k] + 1))) if self.last[k] > k else 0
+                style = xxhash.xxh3_64_intdigest(paths.span(k, self.last[k] + 1)) if self.last[k] > k else 0
                 out[path, content] = [style, 1, int(path not in seen)]
                 seen.add(path)
         return [(path, style, content, n, first) for (path, content), (style, n, first) in out.items()]

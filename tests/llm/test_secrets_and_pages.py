@@ -1,6 +1,9 @@
 import random
 import re
 import string
+import time
+
+import pytest
 
 from fundaflow.llm import pages, queries, secrets
 from pyspark.sql import functions as F
@@ -167,3 +170,31 @@ def test_broken_markup_never_fails():
         page.text()
         page.branches()
     assert pages.Page("<div>" * 3000 + "deep").text() == "deep"
+
+
+def test_names_that_tell_of_something_else_drop_no_text_of_an_article():
+    names = ["related-work", "alert-levels", "search-results", "share-prices", "notice-period", "menu-of-the-day", "nav-theory"]
+    for name in names:
+        page = pages.Page(f'<body><article><h1>T</h1><p>First part.</p><section class="{name}"><p>Genuine prose.</p></section></article></body>')
+        assert page.text() == "T\nFirst part.\nGenuine prose.", name
+    for name in ("related", "share-buttons", "ad-slot", "comment-list", "newsletter_box", "cookieNotice", "related-posts"):
+        page = pages.Page(f'<body><article><h1>T</h1><p>First part.</p><div class="{name}"><p>Not the text.</p></div></article></body>')
+        assert page.text() == "T\nFirst part.", name
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "<div><p>x", "<b>x</i>", "<section class='a b'>"])
+def test_deep_pages_take_time_in_proportion(piece):
+    page = "<body>" + piece * 20_000 + "end"
+    began = time.process_time()
+    p = pages.Page(page)
+    assert p.text().endswith("end")
+    assert len(p.branches()) > 0
+    assert time.process_time() - began < 4
+
+
+def test_rolling_hashes_tell_spans_apart():
+    rng = random.Random(3)
+    values = [rng.randrange(4) for _ in range(60)]
+    rolling = pages._Rolling(values)
+    spans = [(lo, hi) for lo in range(60) for hi in range(lo, 61)]
+    assert len({rolling.span(*s) for s in spans}) == len({tuple(values[lo:hi]) for lo, hi in spans})
