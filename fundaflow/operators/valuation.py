@@ -38,14 +38,18 @@ def usable_statements(statements: DataFrame, now: datetime | None = None, max_ag
 
 
 def latest_two_statements(statements: DataFrame, now: datetime | None = None, max_age_s: int = 0) -> DataFrame:
-    """Newest statement of each security (`age_rank` 1) and the newest of an older end (2)."""
+    """Newest statement of each security (`age_rank` 1) and the newest of an older end (2).
+
+    Of equal ends and availability the greatest snapshot id counts, or without ids the greatest content, so the
+    choice does not depend on partitions.
+    """
     rows = usable_statements(statements, now, max_age_s)
-    per_end = rows.groupBy("security_id", "period_end").agg(
-        F.max_by(F.struct(*[c for c in rows.columns if c not in ("security_id", "period_end")]), "available_at").alias("s")
-    )
+    first = [c for c in ("available_at", "snapshot_id") if c in rows.columns]
+    rest = [c for c in rows.columns if c not in ("security_id", "period_end", *first)]
+    per_end = rows.groupBy("security_id", "period_end").agg(F.max(F.struct(*first, *rest)).alias("s"))
     newest_first = W.partitionBy("security_id").orderBy(F.col("period_end").desc())
     ranked = per_end.withColumn("age_rank", F.row_number().over(newest_first)).filter("age_rank <= 2")
-    return ranked.select("security_id", "period_end", "age_rank", "s.*")
+    return ranked.select("security_id", "period_end", "age_rank", *[F.col(f"s.{c}") for c in rows.columns if c not in ("security_id", "period_end")])
 
 
 def check_scenarios(scenarios: Sequence[Scenario]) -> list[str]:

@@ -169,6 +169,16 @@ def test_latest_and_prior_in_one_pass(spark):
     assert plan.count("partial_max_by(struct(snapshot_id") <= 1
 
 
+def test_tied_statements_do_not_depend_on_partitions(spark):
+    """Two stored statements of one end and availability: the greatest content, by snapshot id where there is one."""
+    rows = [b.statement(1, "2024-03-31", revenue=r) for r in (900e6, 1100e6, 1000e6)]
+    for order in (rows, rows[::-1]):
+        frame = b.statements(spark, order).repartition(3)
+        assert [r.revenue_usd for r in valuation.latest_two_statements(frame).collect()] == [1100e6]
+        named = frame.withColumn("snapshot_id", F.concat(F.lit("s"), (F.lit(5000e6) - F.col("revenue_usd")).cast("long").cast("string")))
+        assert [r.revenue_usd for r in valuation.latest_two_statements(named).collect()] == [900e6]
+
+
 def test_an_issuer_with_most_restatements(spark):
     rows = [b.fact(1, m, 100 + i % 7, "2023-10-01", "2023-12-31", lag=30 + i) for i in range(300) for m in (1, 2)]
     rows += [b.fact(s, m, 100 + k, f"2023-{q}-01", f"2023-{e}") for s in (1, 2, 3) for m in (1, 2) for k, (q, e) in enumerate([("04", "06-30"), ("07", "09-30"), ("10", "12-31")])]
