@@ -32,7 +32,7 @@ GUARD = 48
 #: Tokens on both sides of a boundary that have to agree.
 AGREE = 3
 #: Words a Python worker remembers at most, the longest that it remembers, and words that are encoded in one call.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 500_000
 MEMO_BYTES = 64
 TOGETHER = 200
 
@@ -145,7 +145,7 @@ class Tokenizer:
         known = self.pieces
         pieces = _PIECES.findall("\n".join(plain).lower())
         fresh = set(pieces)
-        if len(known) + len(fresh) > MEMO_WORDS:
+        if len(known) + len(fresh) > MEMO_WORDS // 2:
             known.clear()
         known.update(self._together(list(fresh.difference(known, ["\n"]))))
         known["\n"] = b""
