@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,8 +26,6 @@ from fundaflow.llm.shared import arrow_map, pick
 
 CHUNK = 16_384
 OVERLAP = 512
-#: Longer than any special string; a boundary nearer to a chunk's end is not trusted.
-GUARD = 48
 #: Tokens on both sides of a boundary that have to agree.
 AGREE = 3
 #: Words a Python worker remembers at most, the longest that it remembers, and words that are encoded in one call.
@@ -36,7 +33,8 @@ MEMO_WORDS = 500_000
 MEMO_BYTES = 64
 TOGETHER = 200
 
-_SPACES = " \t\n\r\x0b\x0c"
+#: White space that a word end is told by; other kinds are taken for letters.
+_WORD_END = re.compile(r"(?<![ \t\n\r\x0b\x0c])[ \t\n\r\x0b\x0c]")
 
 # The splitting pattern of vocabularies with word ends, and the normalizers in front of it.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -201,29 +199,33 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def stable(text: str, p: int) -> bool:
-    """Whether nothing can span p: white space lies on exactly one side, and p starts no combining mark."""
-    before, after = text[p - 1] in _SPACES, text[p] in _SPACES
-    return before != after and not unicodedata.category(text[p]).startswith("M")
+def word_ends(text: str, lo: int, hi: int) -> list[int]:
+    """The places in text[lo:hi] where a run of anything but white space has ended and white space begins."""
+    return [p for p in (lo + m.start() for m in _WORD_END.finditer(text[lo:hi])) if p > lo and not text[p - 1].isspace()]
+
+
+def _begins(e: Encoded, i: int, text: str, p: int) -> bool:
+    """Whether token i is the first one from p on, with nothing but dropped white space before it."""
+    return i < len(e.starts) and not text[p : e.starts[i]].strip()
 
 
 def common_boundary(text: str, left: Encoded, left_end: int, right: Encoded, right_begin: int) -> int | None:
     """The last place where both encodings start a token and that is proven stable, or None.
 
-    Proof: the left encoding is right up to its cut-off end, so beyond GUARD of it a token start is a true
-    one; the right encoding also starts a token there, after white space or before it, more than GUARD
-    from its own beginning, and AGREE tokens on both sides are the same in both.  From such a place on,
-    the right encoding does not depend on what came before.
+    Candidates are word ends: white space, and the word after it, hang together, and no piece of a vocabulary
+    runs from a word into the white space that follows.  Proof of a word end p: a whole unit of white space and
+    word lies between p and the cut-off end of the left encoding, so the word that the cut may have damaged is a
+    later one, however long it is; likewise a whole unit lies between p and the beginning of the right one.
+    Both start a token at p, and AGREE tokens on both sides are the same in both.  From such a place on, the
+    right encoding does not depend on what came before.
     """
-    lo, hi = right_begin + GUARD, left_end - GUARD
-    if hi <= lo:
-        return None
-    a, b = np.searchsorted(left.starts, [lo, hi])
-    c, d = np.searchsorted(right.starts, [lo, hi])
-    both, at_left, at_right = np.intersect1d(left.starts[a:b], right.starts[c:d], return_indices=True)
-    for p, i, j in zip(both[::-1].tolist(), (at_left + a)[::-1].tolist(), (at_right + c)[::-1].tolist()):
+    ends = word_ends(text, right_begin, left_end)[1:-1]
+    for p in reversed(ends):
+        i, j = int(np.searchsorted(left.starts, p)), int(np.searchsorted(right.starts, p))
         x, y = slice(max(0, i - AGREE), i + AGREE), slice(max(0, j - AGREE), j + AGREE)
-        if i < AGREE or j < AGREE or not stable(text, p):
+        if i < AGREE or j < AGREE:
+            break
+        if not (_begins(left, i, text, p) and _begins(right, j, text, p)):
             continue
         if np.array_equal(left.ids[x], right.ids[y]) and np.array_equal(left.starts[x], right.starts[y]):
             return p
@@ -240,15 +242,18 @@ def resynchronised(text: str, encode: Callable[[str], Encoded], chunk: int = CHU
         e = encode(text[lo:hi])
         return Encoded(e.ids, e.starts + lo)
 
-    begin, end = 0, min(n, chunk)  # text[:begin] is settled, text[begin:end] is encoded in `left`
+    # text[:begin] is settled, text[begin:end] is encoded in `left`, by a chunk that began at `origin`
+    origin, begin, end = 0, 0, min(n, chunk)
     left = at(begin, end)
     while end < n:
         width, p = overlap, None
         while p is None:
             lo = end - width
-            if lo <= begin:  # widened to all that is open: encode it anew, further
+            if lo <= begin:  # widened to all that is open: encode it anew, further, with the same text in front
                 end = min(n, end + max(chunk, end - begin))
-                left = at(begin, end)
+                left = at(origin, end)
+                drop = np.searchsorted(left.starts, begin)
+                left = Encoded(left.ids[drop:], left.starts[drop:])
                 break
             hi = min(n, end + max(chunk, width))
             right = at(lo, hi)
@@ -259,7 +264,7 @@ def resynchronised(text: str, encode: Callable[[str], Encoded], chunk: int = CHU
             ids.append(left.ids[:keep])
             starts.append(left.starts[:keep])
             drop = np.searchsorted(right.starts, p)
-            left, begin, end = Encoded(right.ids[drop:], right.starts[drop:]), p, hi
+            left, origin, begin, end = Encoded(right.ids[drop:], right.starts[drop:]), lo, p, hi
     return Encoded(np.concatenate([*ids, left.ids]), np.concatenate([*starts, left.starts]))
 
 

@@ -31,6 +31,25 @@ def test_splicing_equals_whole_encoding(path):
             assert got.starts.tolist() == want.starts.tolist()
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES, PIECES])
+def test_long_runs_do_not_break_the_splice(path):
+    """Runs of one letter or of spaces, longer than the overlap and than a chunk, in small chunks."""
+    t, rng = tokens.Tokenizer(path), random.Random(11)
+    for _ in range(250):
+        runs = [rng.choice("x.aé中1 \u00a0\n") * rng.choice([1, 2, 7, 70, 130, 300, 400]) for _ in range(rng.randint(2, 30))]
+        text = rng.choice(["", " ", "  "]).join(r + awkward(rng, rng.choice([0, 3, 40])) for r in runs)
+        got, want = tokens.resynchronised(text, t.offsets, chunk=256, overlap=64), t.offsets(text)
+        assert got.ids.tolist() == want.ids.tolist()
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES, PIECES])
+def test_given_texts_in_small_chunks(path, spark):
+    t = tokens.Tokenizer(path)
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        text = row.text or ""
+        assert tokens.resynchronised(text, t.offsets, chunk=256, overlap=64).ids.tolist() == t.offsets(text).ids.tolist()
+
+
 def test_overlap_widens_over_text_without_boundaries():
     t, asked = tokens.Tokenizer(WORDS), []
 
