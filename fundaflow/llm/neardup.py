@@ -3,13 +3,16 @@
 Documents with the same set of shingles form one class before anything is compared, however many they are.
 Classes that share a band meet in its bucket.  A bucket's hub, the member with the most company over all
 bands, is compared with every other member.  Buckets of one hub make up its group; where a group still holds
-several components, its members are compared across components in bounded tiles, which confirm on full sets
-and emit a spanning forest of links, not pairs.  So g members that belong together cost g comparisons, and no
+several components, its members are compared across components in bounded tiles: first on signatures alone,
+then the members that have a likely partner in their tile on full sets, of which the tile emits a spanning
+forest of links, not pairs.  So g members that belong together cost g comparisons, and no
 pair of a bucket whose link could matter goes unexamined.  A pair becomes a link only on its full sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -133,7 +136,7 @@ def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): the full sets of the nodes given (node, h1, h2), read from the texts again."""
+    """(node, set): the full sets of the nodes given (node, least, h1, h2), read from the texts of their least ids again."""
     texts = pick(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -143,10 +146,10 @@ def full_sets(nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_c
             s = shingles(t, width)
             d = xxhash.xxh3_128_digest(s.tobytes())
             if (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)) == (x, y):
-                out[i] = s.tobytes()  # rows that share the id but not the set are no representatives
+                out[i] = s.tobytes()  # of rows that share the id, those with the node's own set
         return pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "set"])
 
-    of_nodes = texts.join(nodes, texts["doc"] == nodes["node"]).select("node", "text", "h1", "h2")
+    of_nodes = texts.join(nodes, texts["doc"] == nodes["least"]).select("node", "text", "h1", "h2")
     return arrow_map(of_nodes, whole, "node long, set binary", rows=1000)
 
 
@@ -188,14 +191,27 @@ def shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def joining_links(left: np.ndarray, right: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, sets: list[bytes],
-                  percent: int) -> list[tuple[int, int]]:
-    """Links between rows `left` and rows `right` that join different components: a spanning forest of them, not all."""
+def likely(left: np.ndarray, right: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strips (rows, others, ok) of the rows `left` and `right` with partners of another component that sizes and signatures do not rule out."""
     names, count = np.unique(comp[np.concatenate([left, right])], return_counts=True)
     if len(names) < 2:
-        return []
+        return
     largest = names[count.argmax()]
-    up = {c: c for c in names.tolist()}
+    # no pair inside the largest component matters: its rows meet the other rows only
+    for x, y in ((left[comp[left] != largest], right), (left[comp[left] == largest], right[comp[right] != largest])):
+        for at in range(0, len(x), 128):
+            rows = x[at : at + 128]
+            ok = (comp[rows][:, None] != comp[y][None, :]) & _fits(n[rows][:, None], n[y][None, :], percent)
+            if ok.any():
+                ok &= _agreement(sig[rows], sig[y]) >= AGREEING
+            if ok.any():
+                yield rows[ok.any(axis=1)], y[ok.any(axis=0)], ok[ok.any(axis=1)][:, ok.any(axis=0)]
+
+
+def joining_links(left: np.ndarray, right: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, sets: list[bytes],
+                  percent: int) -> list[tuple[int, int]]:
+    """Links between rows `left` and rows `right` that join different components: a spanning forest of them, not all."""
+    up = {c: c for c in np.unique(comp[np.concatenate([left, right])]).tolist()}
 
     def root(c: int) -> int:
         while up[c] != c:
@@ -204,32 +220,37 @@ def joining_links(left: np.ndarray, right: np.ndarray, node: np.ndarray, comp: n
         return c
 
     out = []
-    # no pair inside the largest component matters: its rows meet the other rows only
-    for x, y in ((left[comp[left] != largest], right), (left[comp[left] == largest], right[comp[right] != largest])):
-        for at in range(0, len(x), 128):
-            rows, others = x[at : at + 128], y
-            ok = (comp[rows][:, None] != comp[others][None, :]) & _fits(n[rows][:, None], n[others][None, :], percent)
-            if not ok.any():
-                continue
-            ok &= _agreement(sig[rows], sig[others]) >= AGREEING
-            rows, others, ok = rows[ok.any(axis=1)], others[ok.any(axis=0)], ok[ok.any(axis=1)][:, ok.any(axis=0)]
-            if not ok.size:
-                continue
-            shared = shared_sizes([np.frombuffer(sets[i], np.uint64) for i in rows], [np.frombuffer(sets[j], np.uint64) for j in others])
-            union = n[rows][:, None] + n[others][None, :] - shared
-            for i, j in zip(*np.nonzero(ok & (100 * shared >= percent * union)), strict=True):
-                a, b = root(int(comp[rows[i]])), root(int(comp[others[j]]))
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-                    out.append((int(node[rows[i]]), int(node[others[j]])))
+    for rows, others, ok in likely(left, right, comp, n, sig, percent):
+        shared = shared_sizes([np.frombuffer(sets[i], np.uint64) for i in rows], [np.frombuffer(sets[j], np.uint64) for j in others])
+        union = n[rows][:, None] + n[others][None, :] - shared
+        for i, j in zip(*np.nonzero(ok & (100 * shared >= percent * union)), strict=True):
+            a, b = root(int(comp[rows[i]])), root(int(comp[others[j]]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((int(node[rows[i]]), int(node[others[j]])))
     return out
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join different components within the groups given (hub, node, comp, n, sig, set).
+def _sides(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) rows of each of a task's groups: the two blocks of a tile, or all of a small group with itself."""
+    hub, own = group.column("hub").to_numpy(), group.column("own").to_numpy()
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    order = np.argsort(hub, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(hub[order])) + 1):
+        yield (at[own[at] == i], at[own[at] == j]) if i >= 0 else (at, at)
+
+
+def _signed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    comp, n = group.column("comp").to_numpy(), group.column("n").to_numpy()
+    return comp, n, np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within the groups given (hub, node, comp, n, sig); sets: (node, set).
 
     A large group is dealt into tiles of two blocks each, small groups are bundled; a task holds one tile or
-    bundle, compares signatures, confirms on full sets and emits at most one link per component.
+    bundle.  A first pass compares signatures; only members with a likely partner in their tile go on to the
+    second, get their full sets there, and give at most one link per component.
     """
     sized = members.join(members.groupBy("hub").agg(F.count("*").alias("m")), "hub")
     total = int(sized.where(F.col("m") <= BLOCK).count())
@@ -241,22 +262,27 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     small = F.col("m") <= BLOCK
     rows = dealt.withColumn("t", F.explode("tiles")).select(
         F.when(small, F.pmod(F.xxhash64("hub"), F.lit(bundles))).otherwise(F.col("hub")).alias("g"), F.when(small, F.lit(-1)).otherwise(F.col("t.i")).alias("i"),
-        F.when(small, F.lit(-1)).otherwise(F.col("t.j")).alias("j"), "hub", "node", "comp", "n", "sig", "set", "own",
+        F.when(small, F.lit(-1)).otherwise(F.col("t.j")).alias("j"), "hub", "node", "comp", "n", "sig", "own",
     )
 
+    def compare_signatures(group: pa.Table) -> pa.Table:
+        comp, n, sig = _signed(group)
+        keep = np.zeros(len(group), bool)
+        for left, right in _sides(group):
+            for strip, others, _ in likely(left, right, comp, n, sig, percent):
+                keep[strip], keep[others] = True, True
+        return group.filter(pa.array(keep))
+
     def compare(group: pa.Table) -> pa.Table:
-        hub, node, comp, n, own = (group.column(c).to_numpy() for c in ("hub", "node", "comp", "n", "own"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        sets = group.column("set").to_pylist()
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        order = np.argsort(hub, kind="stable")
+        comp, n, sig = _signed(group)
+        node, full = group.column("node").to_numpy(), group.column("set").to_pylist()
         out: list[tuple[int, int]] = []
-        for at in np.split(order, np.flatnonzero(np.diff(hub[order])) + 1):
-            left, right = (at[own[at] == i], at[own[at] == j]) if i >= 0 else (at, at)
-            out += joining_links(left, right, node, comp, n, sig, sets, percent)
+        for left, right in _sides(group):
+            out += joining_links(left, right, node, comp, n, sig, full, percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
+    met = checkpointed(rows.groupBy("g", "i", "j").applyInArrow(compare_signatures, rows.schema))
+    return met.join(sets, "node").groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -265,27 +291,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Linked are documents with 100 * intersection >= percent * union of their sets of `width`-word shingles;
     component_id is the least id reachable over links, kept says whether that is the document itself.  Null,
     empty and blank texts have an empty set and are linked with nothing; rows with a null id are linked with
-    nothing and kept.  Rows that repeat an id are one document in the graph, each with its own n_shingles.
+    nothing and kept.  Rows that repeat an id are texts of their own, each linked through its own set and no
+    other; so the same id may stand in several components.
     Ids must be whole numbers; other columns are ignored; an empty table gives an empty table.
     """
     signed = checkpointed(signatures(docs, id_col, text_col, width))
     some = signed.where("n > 0 AND doc IS NOT NULL")
     nodes = checkpointed(
         some.groupBy("h1", "h2").agg(
-            F.min("doc").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
-        )
+            F.min("doc").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
+        ).withColumn("node", F.monotonically_increasing_id())  # one a set, also where sets share their least id; fixed by the checkpoint
     )
     members = nodes.select(F.explode("bands").alias("key"), "node")
     shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = checkpointed(members.join(shared, "key"))
-    weight = members.groupBy("node").agg(F.sum("m").alias("weight"))
-    hubs = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
+    weight = members.groupBy("node").agg(F.sum("m").alias("weight")).join(nodes.select("node", (-F.col("least")).alias("minus")), "node")
+    hubs = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "minus", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     met = checkpointed(members.join(hubs, "key").select("hub", "node").distinct())  # the hub itself is in each of its groups
     spokes = met.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near = checkpointed(filtered(spokes, nodes, percent))
     crowds = met.groupBy("hub").agg(F.count("*").alias("m")).where("m > 2")  # beyond the hub's own pairs, only these have any
     needed = near.select(F.explode(F.array("a", "b")).alias("node")).union(met.join(crowds, "hub").select("node")).distinct()
-    sets = checkpointed(full_sets(nodes.select("node", "h1", "h2").join(needed, "node"), docs, width, id_col, text_col))
+    sets = checkpointed(full_sets(nodes.select("node", "least", "h1", "h2").join(needed, "node"), docs, width, id_col, text_col))
     links = checkpointed(confirmed(near, sets, percent))
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(edges)
@@ -294,13 +321,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = placed.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi AND m > 2").select("hub")
     rest = checkpointed(placed.join(apart, "hub"))
     if rest.take(1):
-        members = rest.join(nodes.select("node", "n", "sig"), "node").join(sets, "node")
-        further = checkpointed(across(members, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        members = rest.join(nodes.select("node", "n", "sig"), "node")
+        further = checkpointed(across(members, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
         if further.take(1):
             found = components(edges.union(further))
 
-    same = nodes.select("h1", "h2", "node", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    same = same.where("copies > 1 OR component != node").select("h1", "h2", "component")
+    linked = found.union(found.select("component", "component").distinct())
+    placed = nodes.select("h1", "h2", "node", "least", "copies").join(linked, "node", "left")
+    placed = checkpointed(placed.where("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node")))
+    named = placed.groupBy("component").agg(F.min("least").alias("label"))
+    same = placed.join(named, "component").select("h1", "h2", F.col("label").alias("component"))
     out = signed.select("doc", "n", "h1", "h2").join(same, ["h1", "h2"], "left")
     label = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "doc")).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc") == label, F.lit(True)).alias("kept"))

@@ -87,6 +87,31 @@ def test_repeated_rows_and_empty_table(spark):
     assert neardup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    """Id 1 has two texts that have nothing in common; each is linked to what its own set is linked to."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near = lambda w: [*w[:-1], "other"]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join(near(a))), (6, " ".join(near(b))), (7, " ".join(b)), (8, "alone here")]
+    got = result(spark.createDataFrame([(i, t, "c", "c", 1) for i, t in rows], SCHEMA), width=2)
+    assert [(r[0], r[2], r[3]) for r in got] == [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (7, 1, False), (8, 8, True)]
+    # the two components of id 1 are told apart where the least ids differ
+    rows = [(3, " ".join(a)), (3, " ".join(b)), (2, " ".join(near(b))), (9, " ".join(near(a)))]
+    got = result(spark.createDataFrame([(i, t, "c", "c", 1) for i, t in rows], SCHEMA), width=2)
+    assert [(r[0], r[2], r[3]) for r in got] == [(2, 2, True), (3, 2, False), (3, 3, True), (9, 3, False)]
+
+
+def test_only_members_with_likely_partners_get_sets():
+    """The first pass of a tile names each row of a pair of different components that passes sizes and signatures, and no other."""
+    rng = random.Random(4)
+    sets = [s for s in (neardup.shingles(t) for _, t in corpus(rng, 120)) if len(s)]
+    n, comp = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2
+    sig = np.array([np.frombuffer((neardup._mix(neardup.minima(s)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), np.uint8) for s in sets])
+    rows = np.arange(len(sets))
+    got = {int(i) for x, y, _ in neardup.likely(rows[::2], rows[1::2], comp, n, sig, 80) for i in [*x, *y]}
+    passes = lambda i, j: comp[i] != comp[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and (sig[i] == sig[j]).sum() >= neardup.AGREEING
+    assert got == {int(k) for i in rows[::2] for j in rows[1::2] if passes(i, j) for k in (i, j)}
+
+
 def test_tiles_emit_a_forest_of_links_across_components():
     """Against all pairs: the same components, and fewer links than members."""
     rng = random.Random(3)
