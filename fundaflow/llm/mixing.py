@@ -32,6 +32,8 @@ TRAINING_ROUNDS = 300
 PULL = 1e-4
 #: The fit ends when no component of the projected gradient is more than this share of the total.
 FLAT = 1e-9
+#: Copies of a document that one task writes; of more, the pieces are dealt to other tasks.
+TOGETHER = 64
 #: A fit whose totals are further off than this share of the total warns.
 CLOSE = 1e-4
 
@@ -238,12 +240,24 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
 
 def applied(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain",
             least: float = 0.0, most: float = math.inf, whole: bool = False) -> DataFrame:
-    """docs, each row as often as its rate says.  Texts are read twice (to fit, then to copy) and never shuffled."""
+    """docs, each row as often as its rate says.
+
+    Texts are read twice (to fit, then to copy).  Only documents of more than TOGETHER copies are shuffled, as one row for
+    that many copies, so that no task writes all the copies of one; they are read once more, where there are any.
+    """
     names = tuple(targets)
     model = domain_classifier(labelled, names, text_col, domain_col, id_col)
     columns = docs.columns
-    fit = fitted(checkpointed(with_posteriors(pick(docs, text=text_col), model).drop("text")), tuple(targets.values()), least, most, whole)
+    members = checkpointed(with_posteriors(pick(docs, text=text_col), model).drop("text"))
+    fit = fitted(members, tuple(targets.values()), least, most, whole)
     flat = with_posteriors(docs.toDF(*[f"c{i}" for i in range(len(columns))]), model, f"c{columns.index(text_col)}")
     times = copies(fit.rate(), F.col(f"c{columns.index(id_col)}"))
-    out = flat.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return out.drop("mix_tokens", "mix_p", "mix_copy").toDF(*columns)
+    flat = flat.withColumn("mix_times", times).drop("mix_tokens", "mix_p")
+    few = flat.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.when(F.col("mix_times") <= TOGETHER, F.col("mix_times")).otherwise(0))))
+    out = few.drop("mix_times", "mix_copy")
+    if (members.agg(F.max(fit.rate())).first()[0] or 0.0) > TOGETHER - 1:
+        first = F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1, F.lit(TOGETHER)))
+        many = flat.where(F.col("mix_times") > TOGETHER).withColumn("mix_first", first).repartition(F.xxhash64(f"c{columns.index(id_col)}", "mix_first"))
+        here = F.least(F.lit(TOGETHER), F.col("mix_times") - F.col("mix_first"))
+        out = out.union(many.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), here))).drop("mix_times", "mix_first", "mix_copy"))
+    return out.toDF(*columns)

@@ -106,6 +106,18 @@ def test_a_scarce_domain_meets_its_target(spark):
     assert not bound.met and bound.off > 0.03
 
 
+def test_many_copies_are_dealt_to_several_tasks(spark, monkeypatch):
+    """In pieces of three copies: the same rows as in one piece, whatever the ids and other columns hold."""
+    rows = [*corpus(5, 60), (None, "hijklmn" * 9, "b", "c", 1, 1), (3, None, "a", "c", 1, 1)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    uneven = {"a": 1.0, "b": 40.0, "c": 200.0}
+    at_once = sorted(map(tuple, mixing.applied(frame, frame, uneven, least=1.0, whole=True).collect()), key=str)
+    monkeypatch.setattr(mixing, "TOGETHER", 3)
+    pieces = mixing.applied(frame, frame, uneven, least=1.0, whole=True)
+    assert "Generate" in pieces._jdf.queryExecution().toString() and "Exchange" in pieces._jdf.queryExecution().toString()
+    assert sorted(map(tuple, pieces.collect()), key=str) == at_once and len(at_once) > 3 * len(rows)
+
+
 def test_mixing_cases(spark):
     rows = [(1, None, None, "c", 1, 1), (2, "", "a", "c", 1, 1), (None, "abc def", "b", "c", 1, 1), (3, "abc def", "b", "c", 1, 1), (3, "abc def", "b", "c", 1, 1), (4, "opq " * 20_000, "z", "c", 1, 1)]
     frame = spark.createDataFrame(rows, SCHEMA)
