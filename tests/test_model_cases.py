@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fundaflow import vocab
 from fundaflow.config import DEFAULT_SCENARIOS, ModelConfig, RiskLimits, Scenario
-from fundaflow.operators import gate, growth, portfolio, statements, valuation
+from fundaflow.operators import gate, growth, portfolio, statements, ttm, valuation
+from fundaflow.session import cut_lineage
 from tests import builders as b
 
 NOW = datetime(2024, 6, 30)
@@ -158,3 +159,16 @@ def test_modes_are_enforced(spark):
         gate.stageable(empty, empty, empty, "observe")
     with pytest.raises(ValueError, match="cannot send"):
         gate.submittable(empty, empty, "stage", LIMITS)
+
+
+def test_tasks_do_not_grow_with_the_input(spark):
+    """Behind the shuffle to securities a task sorts all that it reads: more rows make more tasks."""
+    facts = spark.range(600_000).select(
+        F.concat(F.lit("obs-"), F.xxhash64("id").cast("string")).alias("observation_id"), (F.col("id") % 50_000).alias("security_id"), F.lit(1).alias("metric_id"),
+        F.rand(1).alias("value"), F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") / 50_000).cast("int")).alias("period_start"),
+        F.date_add(F.lit("1990-04-01").cast("date"), (F.col("id") / 50_000).cast("int")).alias("period_end"), F.lit("1991-01-01").cast("timestamp").alias("available_at"),
+        F.lit(0).cast("long").alias("quality_flags"), F.lit("flow").alias("metric_kind"), F.lit("fiscal_quarter").alias("period_semantics"), F.lit(101).alias("basis_id"),
+        F.lit("selected").alias("observation_status"), F.lit(91).alias("duration_days"), F.lit("x").alias("dimensions_hash"))
+    tasks = cut_lineage(ttm.period_shapes(facts)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r[1] for r in tasks) == 600_000
+    assert max(r[1] for r in tasks) < 600_000 / 8
