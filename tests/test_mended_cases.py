@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date, timedelta
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from fundaflow.config import DEFAULT_SCENARIOS, REFERENCE_FORM_LIMITS, FormLimit
 from fundaflow.functions import ids, numbers
 from fundaflow.operators import discovery, features, gate, growth, lineage, statements, valuation
 from fundaflow.plans.ingest import ingest_documents
+from fundaflow.session import shared_dir
 from fundaflow.sources import files, tables
 from fundaflow.streaming import jobs
 from fundaflow.streaming.table import StreamTable
@@ -234,3 +237,41 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     written.clear()
     assert lineage.audit_cycles(spark.createDataFrame(chain, "from_node_id string, to_node_id string")).count() == 0
     assert len(written) < 2 * 12
+
+
+def test_a_batch_of_packages_leaves_no_copies(spark, tmp_path):
+    """What a batch reads again is kept as files that go with it: no checkpoint of documents or facts, no copy in any table."""
+    fact = '<us-gaap:Revenues contextRef="c{0}" unitRef="u">{0}</us-gaap:Revenues>'
+    context = ('<xbrli:context id="c{0}"><xbrli:entity><xbrli:identifier scheme="cik">7</xbrli:identifier></xbrli:entity><xbrli:period>'
+               '<xbrli:instant>2020-03-31</xbrli:instant></xbrli:period></xbrli:context>')
+    body = "".join(context.format(i) + fact.format(i) for i in range(400)) + fact.format(3)  # one fact comes twice
+    page = ('<xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:us-gaap="http://fasb.org/us-gaap/2024"><xbrli:unit id="u">'
+            f"<xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>{body}</xbrli:xbrl>")
+    paths = [("0000000007/000000000720000001/index.json", b'{"directory": {"item": [{"name": "a_ins.xml"}]}}'),
+             ("0000000007/000000000720000001/a_ins.xml", page.encode())]
+    spark.createDataFrame(paths, "path string, content binary").write.parquet(f"{tmp_path}/in")
+    known = spark.createDataFrame([("0000000007", "0000000007-20-000001", "a_ins.xml", "10-Q", "2020-05-01", "2020-05-01T16:30:00Z")],
+                                  "cik string, accession_number string, primary_document string, form string, filed_at string, accepted_at string")
+    shared = Path(urlparse(spark.sparkContext.getCheckpointDir() or shared_dir(spark)).path)
+
+    def size(folder):
+        return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    before = size(shared)
+    stream = jobs.stream_files(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    query = jobs.stream_packages(stream, known, f"{tmp_path}/store", f"{tmp_path}/cursor", availableNow=True)
+    query.awaitTermination()
+    assert query.exception() is None
+    assert StreamTable(spark, f"{tmp_path}/store/xbrl_facts").read().count() == 400
+    assert StreamTable(spark, f"{tmp_path}/store/canonical_observations").read().count() == 400
+    assert size(shared) - before < len(page)
+    assert not [p for p in (tmp_path / "store").rglob("_copies")]
+
+
+def test_the_streamed_corpus_is_made_once(spark, monkeypatch):
+    from binding import stream_queries as q
+
+    rows = spark.range(5).selectExpr("cast(id as string) as cik", "cast(cast(id as string) as binary) as content")
+    monkeypatch.setattr(q, "corpus", lambda spark, d: rows)
+    docs = q.written_corpus(spark, "", q.scratch(spark))
+    assert docs.inputFiles() and rows_of(docs.orderBy("cik")) == rows_of(rows.orderBy("cik"))
