@@ -183,8 +183,8 @@ class Page:
             self.last[up] = max(self.last[up], self.last[k])
 
     def pure(self, k: int) -> bool:
-        """Whether the class, id and role name nothing but what is not the main text, and how it is laid out."""
-        parts = [p.lower() for p in _PART.findall(self.label[k][len(self.tag[k]) :])]
+        """Whether the class, id and role name nothing but what is not the main text, and how it is laid out; single letters name nothing."""
+        parts = [p.lower() for p in _PART.findall(self.label[k][len(self.tag[k]) :]) if len(p) > 1]
         return any(p in _PARTS for p in parts) and all(p in _PARTS or p in _NEUTRAL for p in parts)
 
     def chrome(self, k: int) -> bool:
